@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, media_columns, multiset_hash, ring_shard, token_count
+from . import best_fit_pack, media_columns, multiset_hash, quality_mil, ring_shard, simhash_near, token_count
+from .common import id_crc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), id_crc() % 4 == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held)
+    scored = quality_mil.scores(docs.withColumn("doc_id", F.col("doc_id").cast("long")), quality_mil.learn(docs, labels))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_table(documents(spark, sf_dir))
 
@@ -27,6 +35,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_near.near_duplicates(documents(spark, sf_dir), width=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ring_shard.assign(documents(spark, sf_dir), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
