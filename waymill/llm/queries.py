@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, media_columns, multiset_hash, quality_mil, ring_shard, simhash_near, token_count
+from . import best_fit_pack, media_columns, multiset_hash, ppm_score, quality_mil, ring_shard, simhash_near, token_count
 from .common import id_crc
 
 
@@ -23,6 +23,10 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.scores(documents(spark, sf_dir), id_crc() % 10 != 0)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_table(documents(spark, sf_dir))
 
