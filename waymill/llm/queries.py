@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, media_columns, multiset_hash, ppm_score, quality_mil, ring_shard, simhash_near, token_count
+from . import best_fit_pack, media_columns, multiset_hash, ppm_score, quality_mil, ring_shard, simhash_near, suffix_dedup, token_count
 from .common import id_crc
 
 
@@ -27,6 +27,11 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score.scores(documents(spark, sf_dir), id_crc() % 10 != 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(documents(spark, sf_dir), size=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_table(documents(spark, sf_dir))
 
