@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, media_columns, multiset_hash, ppm_score, quality_mil, ring_shard, simhash_near, suffix_dedup, token_count
+from . import best_fit_pack, media_columns, multiset_hash, ppm_score, quality_mil, ring_shard, simhash_near, source_mix, suffix_dedup, token_count
 from .common import id_crc
 
 
@@ -49,6 +49,13 @@ def op7_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labelled = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct(), "doc_id", "left_semi")
+    model = source_mix.learn(labelled.select("doc_id", "text", F.col("lang").alias("domain")))
+    return source_mix.rates(docs, model, source_mix.equal_targets)
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ring_shard.assign(documents(spark, sf_dir), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

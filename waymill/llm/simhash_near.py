@@ -1,22 +1,24 @@
 """SimHash near-duplicates by pigeonring filtering.
 
 A text's fingerprint has a bit set where over half of its shingles' XXH64 values have it. Two fingerprints link at `most` or fewer
-differing bits. Seen as a ring of four segments of 16 bits, a linked pair of 64-bit fingerprints with at most 3 differences has, by the
-pigeonring principle, a start from which every chain of l consecutive segments differs in at most l * 3/4 bits, rounded down: 0, 1, 2, 3.
-So its first segment is equal, and the second, differing in one bit at most, has an equal half. Each distinct fingerprint therefore stands
-under eight keys (start, first segment, one half of the second), and pairs under one key are tested chain by chain and only then over
-all 64 bits.
+differing bits. Seen as a ring of m segments, a pair of 64-bit fingerprints with at most `most` differences has, by the pigeonring
+principle, a start from which every chain of l consecutive segments differs in at most l * most / m bits, rounded down. So the first
+segments, as long as that is 0, are equal, and of the parts of those after them, as long as it is 1, all but one are equal. Each distinct
+fingerprint therefore stands under a fixed number of keys (start, the equal segments, all parts but one): eight keys of 24 bits for 3
+differences and 4 segments, 32 keys of 12 bits for 7 differences and 16 segments. Pairs under one key are tested chain by chain and only
+then over all 64 bits.
 
 Copies collapse before: only distinct fingerprints meet. A key's group yields a spanning forest of its verified links, never its pairs,
 and a group over `block` fingerprints is dealt out as pairs of blocks, so no task holds more than two blocks of one key. Components
 come from min-label rounds over written tables.
 
-Null text counts as empty; texts without a word have fingerprint 0 and link like any other. Texts of one or two words are one shingle.
+Null text counts as empty; texts without a word have fingerprint 0 and link like any other. Texts of fewer words than a shingle are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -27,12 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows, strings
 
-SEGMENTS, BITS = 4, 16
 _WEIGHTS = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """The fingerprint, unsigned."""
+def simhash(text: str | None, width: int = 3, distinct: bool = False) -> int:
+    """The fingerprint, unsigned; of each shingle once only if distinct."""
     words = (text or "").encode().translate(_LOWER).split()
     n = len(words) - width + 1
     if n < 1:
@@ -41,6 +42,8 @@ def simhash(text: str | None, width: int = 3) -> int:
         shingles = list(map(b" ".join, zip(*(words[i : n + i] for i in range(width)), strict=True)))
     if not shingles:
         return 0
+    if distinct:
+        shingles = list(set(shingles))
     h = xxhash.xxh64_intdigest
     hashed = np.array([h(s, 42) for s in shingles], "<u8")
     ones = np.zeros(64, np.int64)
@@ -52,42 +55,58 @@ def simhash(text: str | None, width: int = 3) -> int:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, distinct: bool = False) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) for every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22):
-            fp = np.array([simhash(t, width) for t in strings(batch)], np.uint64).astype(np.int64)
+            fp = np.array([simhash(t, width, distinct) for t in strings(batch)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def keys(fp: Column) -> Column:
-    """The eight keys of a fingerprint: start, the segment there, and a half of the one after it."""
-    seg = lambda i: F.shiftrightunsigned(fp, BITS * (i % SEGMENTS)).bitwiseAND(0xFFFF)
-    out = []
-    for i in range(SEGMENTS):
-        for half in (0, 1):
-            part = F.shiftrightunsigned(seg(i + 1), 8 * half).bitwiseAND(0xFF)
-            out.append(F.shiftleft(seg(i), 8) + part + F.lit((2 * i + half) << 24))
-    return F.array(*(k.cast("int") for k in out))
+class Ring:
+    """The segments of fingerprints and what the principle grants for `most` differences."""
 
+    def __init__(self, most: int = 3, segments: int = 4) -> None:
+        self.most, self.segments, self.bits = most, segments, 64 // segments
+        if 64 % segments or most >= segments:
+            raise ValueError("more segments than differences, and 64 of them at most, each as long")
+        budget = [n * most // segments for n in range(segments + 1)]
+        self.equal = max(n for n in range(segments + 1) if budget[n] == 0)
+        near = (max(n for n in range(segments + 1) if budget[n] <= 1) - self.equal) * self.bits
+        self.parts = near // self.bits if near > self.bits else 2
+        self.part = near // self.parts
 
-def linked(a: np.ndarray, b: np.ndarray, start: int, most: int = 3) -> np.ndarray:
-    """Which of the pairs a, b pass the chain of segments from start and then the whole distance."""
-    turn = np.uint64(BITS * start)
-    x = a ^ b
-    x = (x >> turn) | (x << (np.uint64(64) - turn)) if start else x
-    total = np.zeros(x.shape, np.uint8)
-    ok = np.ones(x.shape, bool)
-    for i in range(SEGMENTS):
-        total = total + np.bitwise_count((x >> np.uint64(BITS * i)) & np.uint64(0xFFFF))
-        ok &= total <= (i + 1) * most // SEGMENTS
-    return ok & (np.bitwise_count(x) <= most)
-
-
-def forest(fps: np.ndarray, start: int, split: int | None = None, most: int = 3, rows_at_once: int = 1 << 20) -> list[tuple[int, int]]:
+    def keys(self, fp: Column) -> Column:
+        """Key id * 2**32 + the bits that are to be equal, of each start and each part left out."""
+        out = []
+        head = self.equal * self.bits
+        for start in range(self.segments):
+            turn = start * self.bits
+            turned = F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn)) if turn else fp
+            for off in range(self.parts):
+                held = ((1 << head) - 1) | sum(((1 << self.part) - 1) << (head + self.part * i) for i in range(self.parts) if i != off)
+                out.append(turned.bitwiseAND(held) + (start * self.parts + off) * (1 << 32))
+        return F.array(*out)
+
+    def start(self, key: np.ndarray) -> np.ndarray:
+        return (key >> 32) // self.parts
+
+    def linked(self, a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
+        """Which of the pairs a, b pass the chain of segments from start and then the whole distance."""
+        turn = np.uint64(self.bits * start)
+        x = a ^ b
+        x = (x >> turn) | (x << (np.uint64(64) - turn)) if start else x
+        total, ok = np.zeros(x.shape, np.uint8), np.ones(x.shape, bool)
+        for i in range(min(self.segments, self.equal + 3)):
+            total = total + np.bitwise_count((x >> np.uint64(self.bits * i)) & np.uint64((1 << self.bits) - 1))
+            ok &= total <= (i + 1) * self.most // self.segments
+        return ok & (np.bitwise_count(x) <= self.most)
+
+
+def forest(ring: Ring, fps: np.ndarray, start: int, split: int | None = None, rows_at_once: int = 1 << 20) -> list[tuple[int, int]]:
     """Index pairs of verified links that span each component of fps; with split, only links between [:split] and [split:] count."""
     n = len(fps)
     parent = list(range(n))
@@ -103,7 +122,7 @@ def forest(fps: np.ndarray, start: int, split: int | None = None, most: int = 3,
     for low in range(0, n if split is None else split, step):
         own = np.arange(low, min(low + step, n if split is None else split))
         first = low + 1 if split is None else split
-        i, j = np.nonzero(linked(fps[own, None], fps[None, first:], start, most))
+        i, j = np.nonzero(ring.linked(fps[own, None], fps[None, first:], start))
         i, j = own[i], j + first
         for x, y in zip(*(k[i < j].tolist() for k in (i, j)), strict=True):
             rx, ry = find(x), find(y)
@@ -113,7 +132,7 @@ def forest(fps: np.ndarray, start: int, split: int | None = None, most: int = 3,
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(ring: Ring, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, pair, side): spanning links of each (key, pair) group; pair -1 is a whole group, a pair of different blocks has both sides."""
     held: list[np.ndarray] = []  # what is left of the last batch: its last group
     for batch in chain(batches, (None,)):
@@ -134,15 +153,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = ends - starts
         two = starts[size == 2]  # most groups: all at once
         fps = at[3].view(np.uint64)
-        for s in range(SEGMENTS):
-            own = two[(at[0][two] >> 25) == s]
-            own = own[linked(fps[own], fps[own + 1], s)]
+        for s in range(ring.segments):
+            own = two[ring.start(at[0][two]) == s]
+            own = own[ring.linked(fps[own], fps[own + 1], s)]
             out += zip(at[3][own].tolist(), at[3][own + 1].tolist(), strict=True)
         for low, high in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
             group = fps[low:high]
             sides = at[2][low:high]
             split = int((sides == 0).sum()) if sides[-1] else None
-            out += ((int(at[3][low + i]), int(at[3][low + j])) for i, j in forest(group, int(at[0][low] >> 25), split))
+            out += ((int(at[3][low + i]), int(at[3][low + j])) for i, j in forest(ring, group, int(ring.start(at[0][low])), split))
         if batch is None:
             held = []
         if out:
@@ -150,9 +169,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def links(fps: DataFrame, block: int = 4096) -> DataFrame:
+def links(fps: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
     """Links (a, b) between the distinct fingerprints fps(fp) that connect all that lie within reach of each other."""
-    keyed = fps.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
+    keyed = fps.select("fp", F.explode(ring.keys(F.col("fp"))).alias("key"))
     big = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     # a fingerprint of a big group stands in every pair of blocks that holds its own; others in the one whole group
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
@@ -166,7 +185,7 @@ def links(fps: DataFrame, block: int = 4096) -> DataFrame:
     dealt = keyed.join(big, "key", "left").withColumn("own", own)
     dealt = dealt.withColumn("in", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("side")))).otherwise(pairs)))
     dealt = dealt.select("key", "fp", "in.pair", "in.side")
-    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "fp").mapInArrow(_links, "a long, b long")
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "fp").mapInArrow(partial(_links, ring), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -193,14 +212,14 @@ def _sums(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("s"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, distinct: bool = False, most: int = 3, segments: int = 4, block: int = 4096) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id within reach) for every row of docs(doc_id, text)."""
-    marked = materialize(fingerprints(docs, width), "simhash")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = materialize(links(distinct.select("fp"), block), "simhash-links")
+    marked = materialize(fingerprints(docs, width, distinct), "simhash")
+    single = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = materialize(links(single.select("fp"), Ring(most, segments), block), "simhash-links")
     member = materialize(components(found), "simhash-components")
     of = member.select(F.col("node").alias("fp"), "root").union(member.select("root", "root").toDF("fp", "root").distinct())
-    rooted = distinct.join(of, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = single.join(of, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     reached = rooted.join(roots, "root").select("fp", "component_id")
     return marked.join(reached, "fp").select("doc_id", "fp", "component_id")

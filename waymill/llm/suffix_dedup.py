@@ -444,21 +444,22 @@ def compared_covers(dealt: DataFrame, size: int) -> DataFrame:
     return dealt.repartition("bucket").mapInArrow(run, FOUND).select("rid", "a", "b")
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with rid, a number of its own for each row in the order of documents: the doc_id where ids are single."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, ids = base.agg(F.count("*"), F.count_distinct("doc_id")).first()
+def ordered(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, raw (the text's bytes), the columns `keep`, and rid: a number of its own for each row in the order of documents, the doc_id
+    where ids are single."""
+    base = docs.select("doc_id", *keep, F.col("doc_id").cast("long").alias("rid"), text_bytes().alias("raw"))
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
-        return base.withColumn("rid", F.col("doc_id"))
-    tie = base.withColumn("tie", F.xxhash64("text"))
-    sorted_ = tie.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-    kept = materialize(sorted_.select("doc_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "ordered")
+        return base
+    by = [F.col("rid").asc_nulls_first(), F.xxhash64("raw")]
+    sorted_ = base.repartitionByRange(*by).sortWithinPartitions(*by, "raw")
+    kept = materialize(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ordered")
     before, total = {}, 0
-    for part, count in sorted((r.part, r["count"]) for r in kept.groupBy("part").count().collect()):
+    for part, count in sorted((r._part, r["count"]) for r in kept.groupBy("_part").count().collect()):
         before[part] = total
         total += count
-    offsets = docs.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
-    return kept.join(F.broadcast(offsets), "part").select("doc_id", "text", (F.col("before") + F.col("at")).alias("rid"))
+    offsets = docs.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_part int, _before long")
+    return kept.join(F.broadcast(offsets), "_part").select("doc_id", *keep, (F.col("_before") + F.col("_at")).alias("rid"), "raw")
 
 
 def release(spark: SparkSession) -> None:
@@ -493,16 +494,9 @@ def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
 
 def without_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans and the columns `keep` for every row of docs(doc_id, text)."""
-    plain = docs.select("doc_id", "text", *keep) if not keep else docs
-    numbered = ordered(docs) if not keep else None
-    if keep:
-        n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-        if n != ids:
-            raise ValueError("further columns need single ids")
-        numbered = plain.withColumn("rid", F.col("doc_id").cast("long"))
-    own = numbered.select("rid", text_bytes().alias("raw"))
-    covers = repeats(own, size)
-    kinds = dict(docs.dtypes) | {"doc_id": "bigint"}
+    numbered = ordered(docs, keep)
+    covers = repeats(numbered.select("rid", "raw"), size)
+    kinds = dict(docs.dtypes)
     names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,6 +510,6 @@ def without_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = (
             fresh = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, removed, spans))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *fresh], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = numbered.select("rid", *names, text_bytes().alias("raw")).join(covers, "rid", "left")
+    joined = numbered.join(covers, "rid", "left")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", kept binary, n_bytes long, n_removed long, n_spans long"
     return joined.select(*names, "raw", "covers").mapInArrow(run, schema)
