@@ -123,7 +123,7 @@ class Model:
     def fit(self, bags: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.02, decay: float = 1e-5) -> Model:
         y = np.array(labels, np.float64)
         self.share = float(y.mean()) if len(y) else 0.5
-        if not 0 < self.share < 1:
+        if not len(y) or not 0 < self.share < 1:
             return self
         x = np.concatenate(bags).astype(np.float32)
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -141,7 +141,7 @@ class Model:
         return self
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
-        if not self.learned:
+        if not self.learned or not bags:
             return np.full(len(bags), self.share)
         x = np.clip((np.concatenate(bags) - self.mean) / self.scale, -8, 8)
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])

@@ -74,10 +74,12 @@ class Ring:
         if 64 % segments or most >= segments:
             raise ValueError("more segments than differences, and 64 of them at most, each as long")
         budget = [n * most // segments for n in range(segments + 1)]
-        self.equal = max(n for n in range(segments + 1) if budget[n] == 0)
-        near = (max(n for n in range(segments + 1) if budget[n] <= 1) - self.equal) * self.bits
-        self.parts = near // self.bits if near > self.bits else 2
-        self.part = near // self.parts
+        equal = max(n for n in range(segments + 1) if budget[n] == 0)
+        near = max(n for n in range(segments + 1) if budget[n] <= 1) - equal
+        self.equal = min(equal, max(1, 24 // self.bits))  # a key has 32 bits for both
+        near = min(near if self.equal == equal else 0, (32 - self.equal * self.bits) // self.bits)
+        self.parts = near if near > 1 else 1 + near
+        self.part = near * self.bits // self.parts
 
     def keys(self, fp: Column) -> Column:
         """Key id * 2**32 + the bits that are to be equal, of each start and each part left out."""
