@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, rows, strings
+from .common import materialize, release, rows, strings
 
 END, SYMBOLS, WIDE = 256, 257, 9
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -120,8 +120,8 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], order: int, discount: flo
         contexts.append(np.unique(levels[j][0] >> WIDE))
         first.append(total)
         total += len(contexts[j])
-    move, logp = np.zeros((total, wide), np.int32), np.zeros((total, wide))
-    below = np.full((total, wide), 1 / rest if rest else 1.0)  # of symbols that a context has not seen, after its escape
+    move, logp = np.zeros((total, wide), np.int32), np.zeros((total, wide), np.float32)
+    below = np.full((total, wide), 1 / rest if rest else 1.0, np.float32)  # of symbols that a context has not seen, after its escape
     own_counts = np.zeros((0, 0))
     for j in range(order + 1):
         code, n = levels[j]
@@ -139,16 +139,16 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], order: int, discount: flo
             fall = np.where(left > 0, discount * kinds / whole, 1.0)
             below[span] = np.where(up > 0, (up - discount) / whole, fall * below[first[j - 1] + shorter])
         full = q == (SYMBOLS if rest > 1 else wide)  # nothing is left to escape to
-        logp[span] = np.log10(np.where(counts > 0, np.where(full, counts, counts - discount) / t, discount * q / t * below[span]).clip(1e-300))
+        logp[span] = np.log10(np.where(counts > 0, np.where(full, counts, counts - discount) / t, discount * q / t * below[span]).clip(1e-38))
         if j < order:
             child = contexts[j + 1]
             parent = np.searchsorted(contexts[j], child >> WIDE)
             move[first[j] + parent, classes[child & 511]] = first[j + 1] + np.arange(len(child))
         own_counts = counts
-    return Trie(order, classes, move, logp.astype(np.float32))
+    return Trie(order, classes, move, logp)
 
 
-def train(docs: DataFrame, order: int = 5, share: float = 2e-6) -> Trie:
+def train(docs: DataFrame, order: int = 5, share: float = 4e-6) -> Trie:
     """The trie of all of docs(text)."""
     whole = materialize(gram_counts(docs, order), "ppm")
     symbols_in_all = whole.agg(F.sum("n")).first()[0] or 0
@@ -162,6 +162,7 @@ def train(docs: DataFrame, order: int = 5, share: float = 2e-6) -> Trie:
         kept = level if kept is None else kept.union(level)
     got = kept.toArrow().sort_by([("j", "ascending"), ("code", "ascending")])  # 257 / share rows of each length at most
     j, code, n = (got.column(c).to_numpy() for c in ("j", "code", "n"))
+    del got
     return build([(code[j == i], n[j == i]) for i in range(order + 1)], order)
 
 
@@ -204,11 +205,12 @@ def block_words(blocked: DataFrame) -> DataFrame:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float = 2e-6) -> DataFrame:
+def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float = 4e-6) -> DataFrame:
     """SCHEMA for every row of docs(doc_id, text); those where train_where holds are learned from."""
     blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_where.alias("train"))
     blocked = blocked.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK))
     trie = docs.sparkSession.sparkContext.broadcast(train(blocked.where("train"), order, share))
+    release(docs.sparkSession)
     of = Window.partitionBy("word").orderBy("block")
     counted = materialize(
         block_words(blocked).select(
@@ -216,6 +218,7 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float =
         ),
         "ppm-words",
     )
+    release(docs.sparkSession)
     texts = blocked.agg(F.count_if("train")).first()[0]
     known = counted.where("first and c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (known.n or 0) + texts, known.v + (texts > 0)

@@ -23,15 +23,14 @@ hash of their text, and each counts as a document of its own after the ones befo
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows, text_bytes
+from .common import materialize, release, rows, text_bytes
 
 SIZE, GRAM, HOT, SHARD, LOCAL = 100, 32, 4096, 1 << 18, 32
 PIECE = 1 << 20  # bytes of a long text looked at together
@@ -462,12 +461,6 @@ def ordered(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return kept.join(F.broadcast(offsets), "_part").select("doc_id", *keep, (F.col("_before") + F.col("_at")).alias("rid"), "raw")
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """rid, covers (array of struct(lo, hi), any order) of documents(rid, raw) with repeated strings."""
     spark = docs.sparkSession
