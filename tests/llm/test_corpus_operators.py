@@ -230,6 +230,11 @@ def test_long_texts_in_pieces(monkeypatch):
     assert np.diff(np.sort(one["p"])).max() <= 100 - 32 + 1
 
 
+def test_a_table_without_repeats(spark):
+    own = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(60)).encode()) for i in range(4)], "rid long, raw binary")
+    assert suffix_dedup.repeats(own).count() == 0
+
+
 def test_shards_are_merged_by_search():
     rng = np.random.default_rng(4)
     base = [bytes(rng.integers(97, 100, 150).astype(np.uint8)) for _ in range(4)]

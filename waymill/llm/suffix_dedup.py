@@ -167,6 +167,8 @@ DEALT = "bucket int, kind int, blob binary"
 
 
 def _dealt(kind: int, buckets: np.ndarray, data: np.ndarray) -> list[tuple[int, int, bytes]]:
+    if not len(data):
+        return []
     by = np.argsort(buckets, kind="stable")
     data, buckets = data[by], buckets[by]
     cut = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])[: len(data)]
