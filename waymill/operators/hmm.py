@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, quality
 from ..functions.constants import Hmm
-from .observations import ORDERED, chains
+from .observations import chains, ordered
 from .roads import edges, grid_join, merged_nodes, shortest_paths
 
 
@@ -47,8 +47,8 @@ def emissions(points: DataFrame, cands: DataFrame, speed_detection: bool = False
 
 def observation_steps(points: DataFrame, o: Hmm = Hmm()) -> DataFrame:
     """traj_id, seq, chain_id, step: the distance to the observation before, held to 0..max_step_m."""
-    step = geo.clamp(geo.distance(F.col("x"), F.col("y"), F.lag("x").over(ORDERED), F.lag("y").over(ORDERED)), 0.0, o.max_step_m)
-    return chains(points.withColumn("step", step), o.gap_s).select("traj_id", "seq", "chain_id", "step", F.lag("seq").over(ORDERED).alias("before"), F.lag("chain_id").over(ORDERED).alias("chain_before"))
+    step = geo.clamp(geo.distance(F.col("x"), F.col("y"), F.lag("x").over(ordered()), F.lag("y").over(ordered())), 0.0, o.max_step_m)
+    return chains(points.withColumn("step", step), o.gap_s).select("traj_id", "seq", "chain_id", "step", F.lag("seq").over(ordered()).alias("before"), F.lag("chain_id").over(ordered()).alias("chain_before"))
 
 
 def candidate_pairs(cands: DataFrame, stepped: DataFrame, segs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.constants import EXCLUDE_WINDOWS, KEEP_WINDOW
 from ..functions.quality import valid_speed
 
-ORDERED = Window.partitionBy("traj_id").orderBy("seq")
-WHOLE = Window.partitionBy("traj_id")
+
+def ordered() -> WindowSpec:
+    """A trajectory's rows in their order."""
+    return Window.partitionBy("traj_id").orderBy("seq")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("traj_id")
 
 
 def local_ref(points: DataFrame, by: tuple[str, ...] = ("traj_id",), guard: bool = False) -> DataFrame:
@@ -29,7 +35,7 @@ def with_frame(points: DataFrame, ref: tuple[float, float] | None = None) -> Dat
         lat0, lon0 = F.lit(ref[0]), F.lit(ref[1])
     else:
         ok = geo.is_finite("lat") & geo.is_finite("lon")
-        lat0, lon0 = (F.coalesce(F.avg(F.when(ok, F.col(c))).over(WHOLE), F.lit(0.0)) for c in ("lat", "lon"))
+        lat0, lon0 = (F.coalesce(F.avg(F.when(ok, F.col(c))).over(whole()), F.lit(0.0)) for c in ("lat", "lon"))
         points = points.withColumns({"lat0": lat0, "lon0": lon0})
         lat0, lon0 = F.col("lat0"), F.col("lon0")
     return points.withColumns({"x": geo.to_x(F.col("lon"), lat0, lon0), "y": geo.to_y(F.col("lat"), lat0)}).drop("lat0", "lon0")
@@ -79,7 +85,7 @@ def exclude_by_table(observations: DataFrame, windows: DataFrame) -> DataFrame:
 
 def steps(points: DataFrame) -> DataFrame:
     """dt_s, and step_m: planar where both points have x, y, else along the sphere."""
-    prev = {c: F.lag(c).over(ORDERED) for c in ("ts_ms", "x", "y", "lat", "lon")}
+    prev = {c: F.lag(c).over(ordered()) for c in ("ts_ms", "x", "y", "lat", "lon")}
     planar = F.when(geo.is_finite(prev["x"]) & geo.is_finite(prev["y"]) & geo.is_finite("x") & geo.is_finite("y"), geo.distance(F.col("x"), F.col("y"), prev["x"], prev["y"]))
     return points.withColumns({"dt_s": (F.col("ts_ms") - prev["ts_ms"]) / 1000.0, "step_m": F.coalesce(planar, geo.haversine(prev["lat"], prev["lon"], F.col("lat"), F.col("lon")))})
 
@@ -87,16 +93,16 @@ def steps(points: DataFrame) -> DataFrame:
 def chains(points: DataFrame, gap_s: int = 5) -> DataFrame:
     """chain_id from 0 within a trajectory: a new chain where whole seconds go back, stand before 0 or jump by more than gap_s."""
     sec = geo.whole_seconds("ts_ms").cast("long")
-    dt = sec - F.lag(sec).over(ORDERED)
-    opens = F.lag(sec).over(ORDERED).isNotNull() & ((dt > gap_s) | (dt < 0) | (sec < 0) | (F.lag(sec).over(ORDERED) < 0))
+    dt = sec - F.lag(sec).over(ordered())
+    opens = F.lag(sec).over(ordered()).isNotNull() & ((dt > gap_s) | (dt < 0) | (sec < 0) | (F.lag(sec).over(ordered()) < 0))
     marked = points.withColumn("_opens", F.when(opens, 1).otherwise(0))
-    return marked.withColumn("chain_id", F.sum("_opens").over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_opens")
+    return marked.withColumn("chain_id", F.sum("_opens").over(ordered().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_opens")
 
 
 def observation_heading(points: DataFrame) -> DataFrame:
     """obs_heading from the point before to this one (for the first: to the next), null within a metre."""
-    px, py, nx, ny = F.lag("x").over(ORDERED), F.lag("y").over(ORDERED), F.lead("x").over(ORDERED), F.lead("y").over(ORDERED)
-    first = F.row_number().over(ORDERED) == 1
+    px, py, nx, ny = F.lag("x").over(ordered()), F.lag("y").over(ordered()), F.lead("x").over(ordered()), F.lead("y").over(ordered())
+    first = F.row_number().over(ordered()) == 1
     dx = F.when(first, nx - F.col("x")).otherwise(F.col("x") - px)
     dy = F.when(first, ny - F.col("y")).otherwise(F.col("y") - py)
     return points.withColumn("obs_heading", F.when(dx * dx + dy * dy > 1.0, F.atan2(dy, dx)))

@@ -9,7 +9,7 @@ from ..functions import geo
 from ..functions.constants import SpeedDetection
 from ..functions.quality import ramp
 from .asof import nearest
-from .observations import ORDERED, WHOLE, steps
+from .observations import ordered, steps, whole
 
 MODES = {0: "off", 1: "three_sigma", 2: "prediction"}
 
@@ -20,7 +20,7 @@ def reset(points: DataFrame) -> DataFrame:
 
 def prediction(points: DataFrame, o: SpeedDetection = SpeedDetection()) -> DataFrame:
     """Each point against the raw point before it moved by its velocity; one lag window, no recursion."""
-    prev = {c: F.lag(c).over(ORDERED) for c in ("ts_ms", "x", "y", "v_e", "v_n")}
+    prev = {c: F.lag(c).over(ordered()) for c in ("ts_ms", "x", "y", "v_e", "v_n")}
     dt = (F.col("ts_ms") - prev["ts_ms"]) / 1000.0
     dx, dy = F.col("x") - (prev["x"] + prev["v_e"] * dt), F.col("y") - (prev["y"] + prev["v_n"] * dt)
     residual = F.sqrt(dx * dx + dy * dy)
@@ -40,7 +40,7 @@ def three_sigma(points: DataFrame, o: SpeedDetection = SpeedDetection()) -> Data
     stepped = steps(points)
     speed = F.when((F.col("dt_s") > o.min_dt) & (F.col("dt_s") <= o.max_dt) & geo.is_finite("step_m"), F.col("step_m") / F.col("dt_s"))
     out = stepped.withColumn("speed_mps", speed)
-    out = out.withColumns({"_mean": F.avg("speed_mps").over(WHOLE), "_sigma": F.stddev_samp("speed_mps").over(WHOLE), "_n": F.count("speed_mps").over(WHOLE)})
+    out = out.withColumns({"_mean": F.avg("speed_mps").over(whole()), "_sigma": F.stddev_samp("speed_mps").over(whole()), "_n": F.count("speed_mps").over(whole())})
     judged = (F.col("_n") >= 3) & (F.col("_sigma") >= 1e-6) & F.col("speed_mps").isNotNull()
     out = out.withColumn("residual_m", F.when(judged, F.abs(F.col("speed_mps") - F.col("_mean"))))
     r, soft, hard = F.col("residual_m"), o.soft_sigma * F.col("_sigma"), o.hard_sigma * F.col("_sigma")

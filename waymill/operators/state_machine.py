@@ -356,10 +356,10 @@ def segment_votes(points: DataFrame, segs: DataFrame, o: StateMachine = StateMac
     from pyspark.sql import Window
 
     from ..functions import quality
-    from .observations import ORDERED, observation_heading, raw_speed
+    from .observations import observation_heading, ordered, raw_speed
     from .roads import grid_join
 
-    w = ORDERED.rowsBetween(0, o.vote_rows - 1)
+    w = ordered().rowsBetween(0, o.vote_rows - 1)
     head = observation_heading(raw_speed(points)).withColumn("heading", F.coalesce("speed_heading", "obs_heading"))
     ahead = head.withColumn("frame", F.collect_list(F.struct("seq", "x", "y", "heading")).over(w)).select("traj_id", F.col("seq").alias("at"), F.explode("frame").alias("r"), F.size("frame").alias("n"))
     flat = ahead.select("traj_id", "at", "n", "r.seq", "r.x", "r.y", "r.heading")
