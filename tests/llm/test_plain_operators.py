@@ -13,6 +13,16 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def test_purge_deletes_what_was_written(spark, docs):
+    from waymill.llm import common
+
+    kept = common.materialize(docs.select("doc_id"), "kept")
+    assert kept.count() == docs.count()
+    common.purge(spark)
+    with pytest.raises(Exception, match="FAILED_READ_FILE|PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 # sharding
 
 

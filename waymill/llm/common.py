@@ -25,7 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/waymill/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/waymill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all that this application wrote into the shared folder, once its results are no longer read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/waymill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
