@@ -33,7 +33,7 @@ def observations(text: DataFrame) -> DataFrame:
     n = text.withColumn("_n", _numbers(F.split(F.trim("value"), "\\s+"))).where(F.size("_n") >= len(OBSERVATION))
     keep = [c for c in text.columns if c != "value"]
     whole = ("year", "month", "day", "hour", "minute", "week", "nsv", "lobs")
-    cols = [F.element_at("_n", i + 1).cast("int" if c in whole else "double").alias(c) for i, c in enumerate(OBSERVATION)]
+    cols = [F.get("_n", F.lit(i)).cast("int" if c in whole else "double").alias(c) for i, c in enumerate(OBSERVATION)]
     extra = F.expr(f"slice(_n, {len(OBSERVATION) + 1}, greatest(size(_n) - {len(OBSERVATION)}, 0))").alias("extra")
     return n.select(*keep, *cols, extra).withColumn("ts_ms", gps_time_ms("week", "ws"))
 
