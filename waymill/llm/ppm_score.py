@@ -32,7 +32,7 @@ from .common import materialize, release, rows, strings
 
 END, SYMBOLS, WIDE = 256, 257, 9
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BLOCK = 12  # a block is 2**BLOCK rows of a partition
+BLOCK = 11  # a block is 2**BLOCK rows of a partition
 
 
 def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float =
         index: dict[bytes, int] = {}
         out = []
         logs = np.log10(c + 0.1) - floor
-        for batch in rows(left.to_batches(), 1 << 22):
+        for batch in rows(left.to_batches(), 1 << 21):
             found = strings(batch)
             split = [words(t) for t in found]
             new = list({w for ws in split for w in ws if w not in index})
