@@ -89,6 +89,18 @@ def test_scores_and_base(docs, texts, none, spark):
     assert untrained[4].score == pytest.approx(-math.log10(257), abs=1e-5) and untrained[4].n_known == 0
 
 
+def test_every_context_of_training_is_known(spark):
+    """However rare: one text among many has a context of its own, which a pruned model forgets."""
+    texts = {i: f"plain words number {i * 7919 % 1000} of many" for i in range(1, 400)} | {400: "zyzzyva qoph", 401: "zyzzyva qoph", 402: ""}
+    kept = materialize(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), "rare")
+    train = [t for i, t in texts.items() if i != 401]
+    rows = by_id(ppm_score.scores(kept, F.col("doc_id") != 401))
+    trie = ppm_score.build(levels_of(train, 5), 5)
+    for i in (1, 400, 401, 402):
+        assert rows[i].score == pytest.approx(slow_score(train, 5, texts[i]), abs=1e-4)
+        assert rows[i].score == pytest.approx(trie.score([texts[i]])[0], abs=1e-4)
+
+
 # near copies
 
 

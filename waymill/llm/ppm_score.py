@@ -3,10 +3,11 @@
 Both models see texts with A-Z in lower case. The model is a trie of byte contexts up to `order` bytes long with the counts of what follows each, over all training texts (each opened by
 start symbols and closed by an end symbol, which is coded too). A symbol is coded in the longest context known: with probability
 (c - 1/2) / t where it was seen there (c of t times, q different symbols), otherwise an escape, q / 2t, leads to the context one
-byte shorter, in which the symbols of the longer one are excluded (from c, t and q there); under the empty context all symbols left are alike. Contexts make up
-the trie that hold at least `share` of the corpus, so there are no more than 1 / share of each length: the model can be broadcast whatever
-the size of the corpus, and is pruned alike at every size. As counts are fixed before scoring, all probabilities are worked out once per
-(context, symbol), and scoring is a walk of table look-ups, vectorised over all positions of a batch.
+byte shorter, in which the symbols of the longer one are excluded (from c, t and q there); under the empty context all symbols left are alike. Every context that
+training texts have is known, so the model grows with the corpus, and no place holds it whole: each block of rows sends its distinct
+(context, symbol) codes with their training counts, cut into buckets by the last bytes of the context, and gets back the logarithms of just
+those codes. A bucket has all of the contexts that end in the same SUFFIX bytes, of any block, so it works out their probabilities by
+itself; only the counts of shorter contexts, which the alphabet bounds and not the corpus, go to all buckets.
 
 The base is an add-0.1 unigram model over words, whose table grows with the corpus. Each block of rows sends its distinct words (as 64-bit
 hashes) with their counts, and gets back the corpus counts of just those words; texts meet their block's counts once.
@@ -24,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, rows, strings
+from .common import discard, materialize, release, rows, strings
 
 END, SYMBOLS, WIDE = 256, 257, 9
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK = 11  # a block is 2**BLOCK rows of a partition
+SUFFIX = 3  # bytes of context that contexts of a bucket share
 
 
 def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,41 +47,197 @@ def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else edge[:0], np.cumsum(sizes)
 
 
+def codes(s: np.ndarray, order: int) -> np.ndarray:
+    """The packed windows of order + 1 symbols of s."""
+    code = np.zeros(max(0, len(s) - order), np.int64)
+    for i in range(order + 1):
+        code = (code << WIDE) | s[i : len(s) - order + i]
+    return code
+
+
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(context and symbol, count), packed WIDE bits a symbol, the latest lowest."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     s, ends = symbols(texts, order)
-    code = np.zeros(max(0, len(s) - order), np.int64)
-    for i in range(order + 1):
-        code = (code << WIDE) | s[i : len(s) - order + i]
+    code = codes(s, order)
     inside = np.ones(len(code), bool)  # drop windows across two texts
     for e in ends[:-1]:
         inside[e - order : e] = False
     return np.unique(code[inside], return_counts=True)
 
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """code, n over docs(text)."""
+def _packed(x: np.ndarray) -> bytes:
+    """Differences of integers by planes of bytes, which compresses well."""
+    return np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel())
+
+
+def _buckets(code: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    suffix = (code >> WIDE) & ((1 << WIDE * min(order, SUFFIX)) - 1)
+    return ((suffix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both, at = np.unique(code, return_inverse=True)
+    return both, np.bincount(at, n, len(both)).astype(np.int64)
+
+
+def block_grams(blocked: DataFrame, order: int, buckets: int) -> DataFrame:
+    """block, bucket, code, n (times in training texts; both packed, codes rising) over blocked(block, text, train), whose rows of a block come
+    together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_code, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, code, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            of = _buckets(code, order, buckets)
+            by = np.argsort(of, kind="stable")
+            present, first = np.unique(of[by], return_index=True)
+            parts = np.split(by, first[1:])
+            cols = [pa.array(np.full(len(present), at, np.int64)), pa.array(present), pa.array([_packed(code[i]) for i in parts], pa.binary()), pa.array([_packed(n[i]) for i in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "code", "n"])
+
         for batch in rows(batches, 1 << 22):
-            code, n = grams(strings(batch), order)
-            both, at = np.unique(np.concatenate([held_code, code]), return_inverse=True)
-            held_n = np.bincount(at, np.concatenate([held_n, n]), len(both)).astype(np.int64)
-            held_code = both
-            if len(held_code) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held_code), pa.array(held_n)], names=["code", "n"])
-                held_code, held_n = held_code[:0], held_n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(held_code), pa.array(held_n)], names=["code", "n"])
+            block, learn = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("block", "train"))
+            texts = strings(batch)
+            starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1]
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)], strict=True):
+                if block[low] != at:
+                    if at is not None:
+                        yield out()
+                    at, code, n = block[low], code[:0], n[:0]
+                trained, counts = grams([texts[i] for i in range(low, high) if learn[i]], order)
+                asked, _ = grams([texts[i] for i in range(low, high) if not learn[i]], order)
+                code, n = _summed(np.concatenate([code, trained, asked]), np.concatenate([n, counts, np.zeros(len(asked), np.int64)]))
+        if at is not None:
+            yield out()
+
+    return blocked.select("block", "train", "text").mapInArrow(run, "block long, bucket long, code binary, n binary")
+
+
+def short_counts(grams_: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The (context and symbol, count) arrays of contexts of under min(order, SUFFIX) bytes, from block_grams; the alphabet bounds their size."""
+    longest = min(order, SUFFIX) - 1
+    if longest < 0:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for c, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c, m = _unpacked(c), _unpacked(m)
+                c, m = _summed(c[m > 0] & ((1 << WIDE * (longest + 1)) - 1), m[m > 0])
+                held.append((c, m))
+                if len(held) == 256:
+                    code, n = _summed(np.concatenate([code, *(x[0] for x in held)]), np.concatenate([n, *(x[1] for x in held)]))
+                    held.clear()
+        code, n = _summed(np.concatenate([code, *(x[0] for x in held)]), np.concatenate([n, *(x[1] for x in held)]))
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    got = grams_.select("code", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (got.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
+    return [_summed(code & ((1 << WIDE * (j + 1)) - 1), n) for j in range(longest + 1)]
+
+
+def _found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+def log_probabilities(code: np.ndarray, n: np.ndarray, order: int, short: list[tuple[np.ndarray, np.ndarray]], discount: float = 0.5) -> np.ndarray:
+    """log10 of the probability of each code's symbol after its context. Codes are distinct and rising and have, with their counts (0: only
+    asked for), all that training has of contexts that end in the same bytes; short: the counts of shorter contexts, over all of training."""
+    p = np.full(len(code), 1 / SYMBOLS)
+    below = p  # of a symbol that a context has not seen, after its escape
+    last = None
+    for j in range(order + 1):
+        seen, c = short[j] if j < len(short) else _summed(code[n > 0] & ((1 << WIDE * (j + 1)) - 1), n[n > 0])
+        contexts, at = np.unique(seen >> WIDE, return_inverse=True)
+        t, q = np.bincount(at, c, len(contexts)), np.bincount(at, minlength=len(contexts))
+        i, known = _found(contexts, (code >> WIDE) & ((1 << WIDE * j) - 1))
+        k, there = _found(seen, code & ((1 << WIDE * (j + 1)) - 1))
+        if not known.any():
+            break
+        own = np.where(there, c[k], 0)
+        if last is None:
+            below = np.full(len(code), 1 / max(1, SYMBOLS - int(q[0])))
+        else:
+            old_seen, old_c, old_contexts, old_t, old_q, old_own = last
+            shorter, _ = _found(old_contexts, contexts & ((1 << WIDE * (j - 1)) - 1))
+            up = old_c[_found(old_seen, seen & ((1 << WIDE * j) - 1))[0]]
+            left = np.maximum(old_t[shorter] - np.bincount(at, up, len(contexts)), 0)  # of symbols of the shorter context that this one has not seen
+            fall = np.where(left > 0, discount * (old_q[shorter] - q) / np.maximum(left, 1), 1.0)
+            below = np.where(known, np.where(old_own > 0, (old_own - discount) / np.maximum(left[i], 1), fall[i] * below), below)
+        full = q[i] == SYMBOLS  # nothing is left to escape to
+        p = np.where(known, np.where(own > 0, np.where(full, own, own - discount) / t[i], discount * q[i] / t[i] * below), p)
+        last = seen, c, contexts, t, q, own
+    return np.log10(p.clip(1e-300))
+
+
+def gram_logs(grams_: DataFrame, order: int) -> DataFrame:
+    """block, bucket, logs (float32, as the bucket's codes stand in block_grams)."""
+    short = short_counts(grams_, order)
+
+    def run(asked: pa.Table) -> pa.Table:
+        asked = asked.combine_chunks()
+        code = [_unpacked(x) for x in asked.column("code").to_pylist()]
+        n = np.concatenate([_unpacked(x) for x in asked.column("n").to_pylist()])
+        both, at = np.unique(np.concatenate(code), return_inverse=True)
+        logs = log_probabilities(both, np.bincount(at, n, len(both)).astype(np.int64), order, short).astype("<f4")
+        out = [logs[i].tobytes() for i in np.split(at, np.cumsum([len(x) for x in code])[:-1])]
+        return pa.Table.from_arrays([asked.column("block"), asked.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "logs"])
+
+    return grams_.groupBy("bucket").applyInArrow(run, "block long, bucket long, logs binary")
+
+
+def coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all symbols that are coded, in order, and where each text's begin."""
+    s, ends = symbols(texts, order)
+    starts = np.r_[0, ends[:-1]]
+    inside = np.ones(len(s), bool)  # start symbols are given, not coded
+    for i in range(order):
+        inside[starts + i] = False
+    return codes(s, order)[inside[order:]], starts - order * np.arange(len(texts))
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+class Logs:
+    """Logarithms by code: a table of slots, and binary search for codes whose slot another one took."""
+
+    def __init__(self, code: np.ndarray, logs: np.ndarray) -> None:
+        self.code, self.logs = code, logs
+        self.shift = np.uint64(62 - max(1, len(code)).bit_length())
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self._slot(code)] = np.arange(len(code), dtype=np.int32)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        if len(code) and not len(self.code):
+            raise ValueError(ORDER)
+        at = self.slots[self._slot(code)]
+        other = np.flatnonzero(self.code[at] != code)
+        found, there = _found(self.code, code[other])
+        if not there.all():
+            raise ValueError(ORDER)
+        at[other] = found
+        return self.logs[at]
+
+
+ORDER = "a block has codes without a logarithm: the table's rows came in another order"
 
 
 @dataclass
 class Trie:
-    """Tables over states (known contexts, 0 the empty one) and classes of symbols."""
+    """The same model of a corpus that fits in memory, which tests compare with: tables over states (known contexts, 0 the empty one) and classes of symbols."""
 
     order: int
     classes: np.ndarray  # of each symbol
@@ -148,24 +307,6 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], order: int, discount: flo
     return Trie(order, classes, move, logp)
 
 
-def train(docs: DataFrame, order: int = 5, share: float = 4e-6) -> Trie:
-    """The trie of all of docs(text)."""
-    whole = materialize(gram_counts(docs, order), "ppm")
-    symbols_in_all = whole.agg(F.sum("n")).first()[0] or 0
-    kept = None
-    for j in range(order + 1):
-        level = whole.groupBy(F.col("code").bitwiseAND((1 << WIDE * (j + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        if j:
-            often = level.groupBy(F.shiftright("code", WIDE).alias("context")).agg(F.sum("n").alias("held")).where(F.col("held") >= share * symbols_in_all).select("context")
-            level = level.join(often, F.shiftright("code", WIDE) == F.col("context"), "left_semi")
-        level = level.select(F.lit(j).alias("j"), "code", "n")
-        kept = level if kept is None else kept.union(level)
-    got = kept.toArrow().sort_by([("j", "ascending"), ("code", "ascending")])  # 257 / share rows of each length at most
-    j, code, n = (got.column(c).to_numpy() for c in ("j", "code", "n"))
-    del got
-    return build([(code[j == i], n[j == i]) for i in range(order + 1)], order)
-
-
 def words(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
@@ -205,11 +346,15 @@ def block_words(blocked: DataFrame) -> DataFrame:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float = 4e-6) -> DataFrame:
+def scores(docs: DataFrame, train_where: Column, order: int = 5) -> DataFrame:
     """SCHEMA for every row of docs(doc_id, text); those where train_where holds are learned from."""
     blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_where.alias("train"))
     blocked = blocked.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK))
-    trie = docs.sparkSession.sparkContext.broadcast(train(blocked.where("train"), order, share))
+    size = blocked.agg(F.count("*").alias("n"), F.count_if("train").alias("texts")).first()
+    buckets = max(256, size.n >> (BLOCK + 3))
+    grams_ = materialize(block_grams(blocked, order, buckets), "ppm")
+    logged = materialize(gram_logs(grams_, order), "ppm-logs")
+    discard(grams_)
     release(docs.sparkSession)
     of = Window.partitionBy("word").orderBy("block")
     counted = materialize(
@@ -219,20 +364,31 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float =
         "ppm-words",
     )
     release(docs.sparkSession)
-    texts = blocked.agg(F.count_if("train")).first()[0]
+    texts = size.texts
     known = counted.where("first and c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (known.n or 0) + texts, known.v + (texts > 0)
     floor = np.log10(n + 0.1 * (v + 1))
     end = np.log10(texts + 0.1) - floor
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = right.column("word").to_numpy(), right.column("c").to_numpy()
+        of_words, of_grams = right.filter(pc.is_null(right.column("logs"))), right.filter(pc.is_valid(right.column("logs"))).sort_by("word")
+        got = of_words.column("word").to_numpy(), of_words.column("c").to_numpy()
         by = np.argsort(got[0])
         table, c = got[0][by], got[1][by]
         index: dict[bytes, int] = {}
         out = []
         logs = np.log10(c + 0.1) - floor
-        for batch in rows(left.to_batches(), 1 << 21):
+        batches = list(rows(left.to_batches(), 1 << 21))
+        code = np.zeros(0, np.int64)
+        for batch in batches:
+            code = np.unique(np.concatenate([code, np.unique(coded(strings(batch), order)[0])]))
+        values = np.frombuffer(b"".join(of_grams.column("logs").to_pylist()), "<f4")
+        if len(values) != len(code):
+            raise ValueError(ORDER)
+        gram_log = np.empty(len(code))
+        gram_log[np.argsort(_buckets(code, order, buckets), kind="stable")] = values
+        lookup = Logs(code, gram_log)
+        for batch in batches:
             found = strings(batch)
             split = [words(t) for t in found]
             new = list({w for ws in split for w in ws if w not in index})
@@ -242,11 +398,13 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5, share: float =
                 if not len(table) or (table[np.minimum(at, len(table) - 1)] != hashed).any():
                     raise ValueError("a block has words without a count: the table's rows came in another order")
                 index |= zip(new, at.tolist(), strict=True)
-            model = trie.value.score(found)
+            own, starts = coded(found, order)
+            model = np.add.reduceat(lookup.of(own), starts) if found else np.zeros(0)
             for doc_id, learned, ws, score in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), split, model.tolist(), strict=True):
                 at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
                 out.append((doc_id, not learned, len(ws) + 1, int((c[at] > 0).sum()) + (texts > 0), n, float(logs[at].sum() + end), score))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return blocked.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)
+    back = counted.select("block", "word", "c", F.lit(None).cast("binary").alias("logs")).union(logged.select("block", "bucket", F.lit(None).cast("long"), "logs"))
+    return blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, SCHEMA)
