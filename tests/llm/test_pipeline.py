@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from waymill.llm import best_fit_pack, queries
+from waymill.llm import best_fit_pack, queries, simhash_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +36,23 @@ def test_stages_on_odd_tables(spark, repeated, none, tmp_path):
             docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
 
 
+def table(spark, rows):
+    found = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return corpus_pipeline.materialize(found, "rows")
+
+
+def test_near_copies_are_verified(spark):
+    """The same words in another order have one fingerprint and no shingle in common; a small edit of a text is a copy."""
+    words = [f"word{i}" for i in range(100)]
+    edited = [*words[:-1], "other"]
+    docs = table(spark, [(1, " ".join(words)), (2, " ".join(reversed(words))), (3, " ".join(edited)), (4, " ".join(words).upper()), (5, "")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 2, 5]
+    rows = docs.select("doc_id", "text", "doc_id").toDF("doc_id", "text", "rid")
+    for block in (1, 512):
+        found = {r.doc_id: r.component for r in simhash_near.verified_duplicates(rows, block=block).collect()}
+        assert found[1] == found[3] == found[4] and len(set(found.values())) == 3
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
 

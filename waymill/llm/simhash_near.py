@@ -210,6 +210,83 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """XXH64 values of a text's distinct shingles, rising; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode().translate(_LOWER).split()
+    found = set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) or ({b" ".join(words)} if words else set())
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
+
+
+def alike(sets: list[np.ndarray], least: float, split: int | None = None) -> list[tuple[int, int]]:
+    """Index pairs of sets with a Jaccard similarity of `least` or more that span each component of all such pairs; with split, only links
+    between [:split] and [split:] count."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    terms, of = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.r_[0, np.cumsum(size)]
+    posts = np.repeat(np.arange(n), size)[np.argsort(of, kind="stable")]
+    count = np.bincount(of, minlength=len(terms))
+    begin = np.r_[0, np.cumsum(count)[:-1]] if len(terms) else count
+    label, found = np.arange(n), []
+    for i in range(n if split is None else split):
+        low = i + 1 if split is None else split
+        if not (label[low:] != label[i]).any():
+            continue
+        own = of[first[i] : first[i + 1]]
+        many = count[own]
+        at = np.repeat(begin[own] - np.r_[0, np.cumsum(many)[:-1]] if len(own) else many, many) + np.arange(many.sum())
+        both = np.bincount(posts[at], minlength=n)
+        like = both / np.maximum(size[i] + size - both, 1) >= least
+        for j in (np.flatnonzero(like[low:]) + low).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+    return found
+
+
+def verified_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 7, segments: int = 16, block: int = 512) -> DataFrame:
+    """doc_id, rid and component for every row of docs(rid, doc_id, text), rid being single and the same at each reading. Components are those of texts with a
+    Jaccard similarity of `least` or more over distinct shingles. Fingerprints of distinct words only choose what is compared: all pairs of different
+    texts of one component of fingerprints, which holds every pair within reach. A component over `block` texts is dealt out as pairs of blocks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 1 << 22):
+            texts = strings(batch)
+            fp = np.array([simhash(t, 1, True) for t in texts], np.uint64).astype(np.int64)
+            same = np.array([xxhash.xxh3_64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(same)], names=["rid", "doc_id", "fp", "same"])
+
+    def verify(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("side", "ascending"), ("same", "ascending")])
+        same, side = group.column("same").to_numpy(), group.column("side").to_numpy()
+        sets = [shingle_set(t, shingle) for t in group.column("text").to_pylist()]
+        found = alike(sets, least, int((side == 0).sum()) if side[-1] else None)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": same[a], "b": same[b]})
+
+    marked = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mark, "rid long, doc_id long, fp long, same long")
+    marked = materialize(marked, "near-rows")
+    single = materialize(marked.groupBy("same").agg(F.min("fp").alias("fp"), F.min("rid").alias("rid")), "near-distinct")
+    found = materialize(links(single.select("fp").distinct(), Ring(most, segments)), "near-links")
+    member = materialize(components(found), "near-groups")
+    of = member.select(F.col("node").alias("fp"), "root").union(member.select("root", "root").toDF("fp", "root").distinct())
+    grouped = materialize(single.join(of, "fp", "left").select("same", "rid", F.coalesce("root", "fp").alias("group")), "near-grouped")
+    sizes = grouped.groupBy("group").count().where("count > 1").select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    asked = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(
+            (F.least(F.col("own"), other) * F.lit(1000003).cast("long") + F.greatest(F.col("own"), other)).alias("pair"),
+            F.when(F.col("own") <= other, 0).otherwise(1).alias("side"),
+        ),
+    )
+    dealt = docs.select("rid", "text").join(asked, "rid").withColumn("in", F.explode(pairs)).select("group", "in.pair", "in.side", "same", "text")
+    edges = dealt.groupBy("group", "pair").applyInArrow(verify, "a long, b long")
+    alike_ = materialize(components(edges), "near-components")
+    to = alike_.select(F.col("node").alias("same"), "root")
+    return marked.join(to, "same", "left").select("doc_id", "rid", F.coalesce("root", "same").alias("component"))
+
+
 def _sums(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("s"))
 
