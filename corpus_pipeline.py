@@ -25,16 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies: linked by a Jaccard similarity of 0.8 or more over five-word
-    shingles, among texts that SimHash over distinct words (7 differing bits at most) puts together. Of rows that repeat an id and text one
-    stays; documents without an id stay."""
+    shingles, among texts that SimHash over distinct words (7 differing bits at most) puts together. Each row counts by
+    itself: of rows that repeat an id and text one stays, of an id with several texts each is judged alone, and rows without an id stay."""
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     own = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("rid"))
     if n != ids:
-        own = materialize(docs.dropDuplicates(["doc_id", "text"]).select(*COLUMNS, F.monotonically_increasing_id().alias("rid")), "near-numbered")
-    found = materialize(simhash_near.verified_duplicates(own), "near-found")
-    first = found.groupBy("component").agg(F.min("doc_id").alias("stays"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(first, "component").where("doc_id <> stays").select("doc_id").distinct()
-    return own.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+        own = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")), "near-numbered")
+    found = materialize(simhash_near.verified_duplicates(own).where("doc_id is not null"), "near-found")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "rid")).getField("rid").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(first, "component").where("rid <> stays").select("rid")
+    return own.join(gone, "rid", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

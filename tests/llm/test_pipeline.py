@@ -53,6 +53,14 @@ def test_near_copies_are_verified(spark):
         assert found[1] == found[3] == found[4] and len(set(found.values())) == 3
 
 
+def test_near_copies_go_by_row(spark):
+    """An id that is a copy in one row keeps its other text; a group always keeps one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = table(spark, [(1, a), (2, a), (2, b), (3, c), (2, c), (None, a), (None, a), (2, b)])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (2, c), (None, a), (None, a)], key=str)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
 
