@@ -46,12 +46,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that languages' token totals come to shares of the present ones to the power 0.7; none is left out."""
+    """Documents repeated so that languages' token totals come to shares of the present ones to the power 0.7. Each row is repeated by
+    itself, with or without an id of its own; none is left out."""
     labelled = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct(), "doc_id", "left_semi")
     model = source_mix.learn(labelled.select("doc_id", "text", F.col("lang").alias("domain")))
-    copies = source_mix.rates(docs, model, source_mix.flattened_targets, least=1.0).select("doc_id", "copies")
-    own = docs.select(*COLUMNS).join(copies, "doc_id")
-    return own.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select(*COLUMNS)
+    own = source_mix.rates(docs, model, source_mix.flattened_targets, least=1.0, keep=COLUMNS)
+    return own.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select("kept.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

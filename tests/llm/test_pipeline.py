@@ -61,6 +61,16 @@ def test_near_copies_go_by_row(spark):
     assert sorted(kept, key=str) == sorted([(1, a), (2, b), (2, c), (None, a), (None, a)], key=str)
 
 
+def test_mixture_repeats_each_row_by_itself(spark, tmp_path):
+    """One domain: every rate is 1, so rows come out as they go in, without an id or with one that repeats."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "one text"), (2, "two texts"), (2, "two texts"), (2, "another"), (None, "no id"), (None, None)]
+    docs = table(spark, rows)
+    out = corpus_pipeline.mixture(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
 

@@ -82,8 +82,10 @@ def learn(labelled: DataFrame, sample: int = 4000) -> Classifier:
     return Classifier(domains).fit(x, np.array([domains.index(r.domain) for r in got]))
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, tokens (words), p (posteriors) of every row of docs(doc_id, text)."""
+def memberships(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tokens (words), p (posteriors) and the columns `keep`, as a struct if any, of every row of docs(doc_id, text)."""
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22):
@@ -91,9 +93,14 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
             p = model.posteriors(texts)
             n = [len(t.encode().split()) for t in texts]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, max(1, p.shape[1])), pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), flat], names=["doc_id", "tokens", "p"])
+            cols = [batch.column(0), pa.array(n, pa.int64()), flat, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tokens", "p", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long, p array<double>")
+    return own.mapInArrow(run, _with("doc_id long, tokens long, p array<double>", own))
+
+
+def _with(names: str, table: DataFrame) -> str:
+    return f"{names}, kept {table.schema['kept'].dataType.simpleString()}" if "kept" in table.columns else names
 
 
 def rates_of(p: np.ndarray, tokens: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
@@ -149,9 +156,9 @@ def flattened_targets(total: np.ndarray, power: float = 0.7) -> np.ndarray:
 RATES = "doc_id long, tokens long, domain string, posterior double, rate double, copies long"
 
 
-def rates(docs: DataFrame, model: Classifier, targets=equal_targets, least: float = 0.0) -> DataFrame:
-    """RATES of every row of docs(doc_id, text); domain is the likeliest one."""
-    table = materialize(memberships(docs, model), "mix")
+def rates(docs: DataFrame, model: Classifier, targets=equal_targets, least: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """RATES of every row of docs(doc_id, text); domain is the likeliest one. The columns `keep`, if any, come along as the struct `kept`."""
+    table = materialize(memberships(docs, model, keep), "mix")
     wide = len(model.domains)
     steps = solve(table, wide, targets, least)
     names = np.array(model.domains, object)
@@ -161,8 +168,8 @@ def rates(docs: DataFrame, model: Classifier, targets=equal_targets, least: floa
             p, n = _matrix(batch, wide)
             top = p.argmax(1)
             r = rates_of(p, n, steps, least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[top].tolist(), pa.string()), pa.array(p[np.arange(len(p)), top]), pa.array(r)], names=["doc_id", "tokens", "domain", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[top].tolist(), pa.string()), pa.array(p[np.arange(len(p)), top]), pa.array(r), *batch.columns[3:]], names=["doc_id", "tokens", "domain", "posterior", "rate", *batch.schema.names[3:]])
 
-    out = table.mapInArrow(run, RATES.rpartition(",")[0])
+    out = table.mapInArrow(run, _with(RATES.rpartition(",")[0], table))
     lot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
     return out.withColumn("copies", F.floor(F.col("rate") + lot).cast("long"))
