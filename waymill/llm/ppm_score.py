@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, rows, strings
+from .common import discard, materialize, rows, strings
 
 END, SYMBOLS, WIDE = 256, 257, 9
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -355,7 +355,6 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5) -> DataFrame:
     grams_ = materialize(block_grams(blocked, order, buckets), "ppm")
     logged = materialize(gram_logs(grams_, order), "ppm-logs")
     discard(grams_)
-    release(docs.sparkSession)
     of = Window.partitionBy("word").orderBy("block")
     counted = materialize(
         block_words(blocked).select(
@@ -363,7 +362,6 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5) -> DataFrame:
         ),
         "ppm-words",
     )
-    release(docs.sparkSession)
     texts = size.texts
     known = counted.where("first and c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (known.n or 0) + texts, known.v + (texts > 0)

@@ -10,10 +10,11 @@ Suffix arrays are built per shard, and what a shard holds is chosen so that equa
    cover. Contexts that are equal throughout are kept once, by digest: all but the first are covered whole.
 2. Shards. Anchors that occur in one context only can have no repeat. The distinct contexts of all others are dealt out by anchor, so that
    shards are independent of each other and as many as the data needs.
-3. In a shard: a suffix array by Larsson-Sadakane refinement (prefix doubling in which only unsorted groups are sorted anew), common
-   prefixes by Kasai's rule (a suffix's common prefix is one shorter than that of the suffix before it, unless their first bytes differ),
-   and runs of suffixes with a common prefix of `size` bytes, in which the earliest stays. A bucket of contexts over one shard's size is
-   several shards, merged by binary search of the strings of one in the sorted strings of another.
+3. A task reads its buckets one after another, and a bucket is cut between anchors into shards. In a shard: a suffix array by
+   Larsson-Sadakane refinement (prefix doubling in which only unsorted groups are sorted anew), common prefixes by Kasai's rule (a
+   suffix's common prefix is one shorter than that of the suffix before it, unless their first bytes differ), and runs of suffixes with a
+   common prefix of `size` bytes, in which the earliest stays. An anchor whose contexts are over one shard's size is several shards,
+   merged by binary search of the strings of one in the sorted strings of another; it has `hot` contexts at most.
 4. An anchor with so many contexts that one task shouldn't hold them (`hot`) goes by the digests of its size-byte strings instead, dealt out
    by digest: exact as well, and even however common the anchor is.
 
@@ -24,16 +25,18 @@ hash of their text, and each counts as a document of its own after the ones befo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, rows, text_bytes
+from .common import materialize, rows, text_bytes
 
-SIZE, GRAM, HOT, SHARD, LOCAL = 100, 32, 4096, 1 << 18, 32
-PIECE = 1 << 20  # bytes of a long text looked at together
+SIZE, GRAM, HOT, SHARD, LOCAL = 100, 32, 4096, 1 << 18, 64
+PIECE = 1 << 19  # bytes of a long text looked at together
+BUCKET = 16384  # contexts of a bucket, on average
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, (2, 256), dtype=np.int64).astype(np.uint64)
 _BASE = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
@@ -41,6 +44,7 @@ ANCHOR = np.dtype([("h", "u8"), ("c", "u8"), ("rid", "i8"), ("p", "i8"), ("l", "
 COVER = np.dtype([("rid", "i8"), ("lo", "i8"), ("hi", "i8")])
 
 
+@lru_cache(4)
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64."""
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
@@ -56,12 +60,13 @@ class Hashes:
     """Digests of any stretch of a byte array, from running sums."""
 
     def __init__(self, a: np.ndarray, which: int = 0) -> None:
-        up, self.down = _powers(len(a) + 1, _BASE[which])
+        up, self.down = _powers(1 << max(PIECE + 2 * SIZE, len(a)).bit_length(), _BASE[which])
         self.sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_TABLE[which][a] * up[:-1], out=self.sums[1:])
+        np.cumsum(_TABLE[which][a] * up[: len(a)], out=self.sums[1:])
 
     def of(self, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
+        sums = self.sums[hi] - self.sums[lo]
+        return mix(sums * (self.down[: len(sums)] if isinstance(lo, slice) else self.down[lo]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -185,30 +190,45 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]
         yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "kind", "blob")), strict=True)
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[bytes]]]:
+    """The blobs by kind of one bucket after another; rows come sorted by bucket."""
+    at, held = None, {}
+    for bucket, kind, blob in _blobs(batches):
+        if bucket != at:
+            if held:
+                yield held
+            at, held = bucket, {}
+        held.setdefault(kind, []).append(blob)
+    if held:
+        yield held
+
+
 def _bytes(batch: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
     get = lambda c: batch.column(batch.schema.get_field_index(c))
     return get("rid").to_pylist(), [x or b"" for x in get("raw").to_pylist()]
 
 
 def dealt_anchors(docs: DataFrame, buckets: int, size: int, gram: int, local: int = LOCAL) -> DataFrame:
-    """DEALT over docs(rid, raw): kind 0 COVER rows by rid, kind 1 ANCHOR rows by anchor. An anchor with over `local` contexts in one lot
-    is hot: its rows are dealt by context, and one, marked 2, tells the anchor's own bucket."""
+    """DEALT over docs(rid, raw): kind 0 COVER rows by rid, kind 1 ANCHOR rows by anchor. An anchor with over `local` contexts in one batch of
+    texts is hot: its rows are dealt by context, and one, marked 2, tells the anchor's own bucket. A batch sends one row to a bucket, so there
+    are no more rows than anchors however many buckets there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22, "raw"):
-            found = []
-            for anchors, covers in anchors_of(*_bytes(batch), size, gram):
-                first = np.flatnonzero(np.r_[True, anchors["h"][1:] != anchors["h"][:-1]])[: len(anchors)]
-                count = np.diff(np.r_[first, len(anchors)])
-                hot = np.repeat(count > local, count)
-                anchors["hot"] = hot
-                marks = anchors[first[count > local]].copy()
-                marks["hot"] = 2
-                key = np.where(hot, anchors["c"], anchors["h"])
-                both = np.concatenate([anchors, marks])
-                found += _dealt(1, (np.r_[key, marks["h"]] % np.uint64(buckets)).astype(np.int64), both)
-                found += _dealt(0, covers["rid"] % buckets, covers)
-            yield _out(found)
+            lots = list(anchors_of(*_bytes(batch), size, gram))
+            if not lots:
+                continue
+            anchors, covers = (np.concatenate(x) for x in zip(*lots, strict=True))
+            anchors = anchors[np.argsort(anchors["h"], kind="stable")]
+            first = np.flatnonzero(np.r_[True, anchors["h"][1:] != anchors["h"][:-1]])[: len(anchors)]
+            count = np.diff(np.r_[first, len(anchors)])
+            hot = np.repeat(count > local, count)
+            anchors["hot"] = hot
+            marks = anchors[first[count > local]].copy()
+            marks["hot"] = 2
+            key = np.where(hot, anchors["c"], anchors["h"])
+            found = _dealt(1, (np.r_[key, marks["h"]] % np.uint64(buckets)).astype(np.int64), np.concatenate([anchors, marks]))
+            yield _out(found + _dealt(0, covers["rid"] % buckets, covers))
 
     return docs.mapInArrow(run, DEALT)
 
@@ -220,29 +240,29 @@ def settled(dealt: DataFrame, hot: int = HOT) -> DataFrame:
     """FOUND: kind 0 covers (a, b), 1 contexts to compare (a: the anchor's place, b: bytes before it * 256 + bytes from it on), 2 the same, hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {0: [], 1: []}
-        for _, kind, blob in _blobs(batches):
-            held[kind].append(blob)
-        covers = np.frombuffer(b"".join(held[0]), COVER)
-        x = np.frombuffer(b"".join(held[1]), ANCHOR)
-        held.clear()
-        away, x = x[x["hot"] == 1], x[x["hot"] != 1]
-        x = x[np.lexsort((x["p"], x["rid"], x["c"], x["h"]))]
-        marked = np.isin(x["h"], x["h"][x["hot"] == 2])
-        x, marked = x[x["hot"] == 0], marked[x["hot"] == 0]
-        same = np.r_[False, (x["h"][1:] == x["h"][:-1]) & (x["c"][1:] == x["c"][:-1])][: len(x)]
-        covers = merged(np.concatenate([covers, _contexts(x[same])]))
-        x, marked = x[~same], marked[~same]
-        first = np.flatnonzero(np.r_[True, x["h"][1:] != x["h"][:-1]])[: len(x)]
-        count = np.diff(np.r_[first, len(x)])
-        count = np.repeat(count, count)
-        burning = marked | (count > hot)
-        x, burning = x[(count > 1) | marked], burning[(count > 1) | marked]
-        yield _found(0, covers["rid"], covers["lo"], covers["hi"], covers["rid"])
-        for kind, own in ((1, x[~burning]), (2, np.concatenate([x[burning], away]))):
-            yield _found(kind, own["rid"], own["p"], own["l"].astype(np.int64) * 256 + own["r"], own["h"].view(np.int64) if len(own) else own["p"])
-
-    return dealt.repartition("bucket").mapInArrow(run, FOUND)
+        for held in _by_bucket(batches):
+            covers = np.frombuffer(b"".join(held.get(0, [])), COVER)
+            x = np.frombuffer(b"".join(held.get(1, [])), ANCHOR)
+            held.clear()
+            away, x = x[x["hot"] == 1], x[x["hot"] != 1]
+            x = x[np.lexsort((x["p"], x["rid"], x["c"], x["h"]))]
+            marked = np.isin(x["h"], x["h"][x["hot"] == 2])
+            x, marked = x[x["hot"] == 0], marked[x["hot"] == 0]
+            same = np.r_[False, (x["h"][1:] == x["h"][:-1]) & (x["c"][1:] == x["c"][:-1])][: len(x)]
+            covers = merged(np.concatenate([covers, _contexts(x[same])]))
+            x, marked = x[~same], marked[~same]
+            first = np.flatnonzero(np.r_[True, x["h"][1:] != x["h"][:-1]])[: len(x)]
+            count = np.diff(np.r_[first, len(x)])
+            count = np.repeat(count, count)
+            burning = marked | (count > hot)
+            x, burning = x[(count > 1) | marked], burning[(count > 1) | marked]
+            if len(covers):
+                yield _found(0, covers["rid"], covers["lo"], covers["hi"], covers["rid"])
+            for kind, own in ((1, x[~burning]), (2, np.concatenate([x[burning], away]))):
+                if len(own):
+                    yield _found(kind, own["rid"], own["p"], own["l"].astype(np.int64) * 256 + own["r"], own["h"].view(np.int64))
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 def _found(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
@@ -257,17 +277,19 @@ def dealt_contexts(docs: DataFrame, wanted: DataFrame, buckets: int, size: int)
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("kind", "a", "b", "h")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches, 1 << 21, "raw"):
-            plain: dict[int, list[bytes]] = {}
+        for batch in rows(batches, 1 << 22, "raw"):
+            plain: dict[int, tuple[list, list]] = {}
             out = []
             for rid, raw, want in zip(*_bytes(batch), batch.column(batch.schema.get_field_index("wanted")), strict=True):
                 want = want.values
                 kind, a, b, h = (want.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "a", "b", "h"))
                 lo, hi = a - (b >> 8), a + (b & 255)
                 bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                for i in np.flatnonzero(kind == 1):
-                    head = np.array([rid, lo[i], hi[i] - lo[i]], "<i8").tobytes()
-                    plain.setdefault(int(bucket[i]), []).append(head + raw[lo[i] : hi[i]])
+                one = kind == 1
+                for to, *head in zip(*(v[one].tolist() for v in (bucket, h, lo, hi)), strict=True):
+                    heads, parts = plain.setdefault(to, ([], []))
+                    heads.append((head[0], rid, head[1], head[2] - head[1]))
+                    parts.append(raw[head[1] : head[2]])
                 hot = kind == 2
                 if hot.any():
                     starts = np.unique(np.concatenate([np.arange(x, y - size + 1) for x, y in zip(lo[hot], hi[hot], strict=True)]))
@@ -276,7 +298,7 @@ def dealt_contexts(docs: DataFrame, wanted: DataFrame, buckets: int, size: int)
                     w["h"], w["g"] = Hashes(arr).of(starts, starts + size), Hashes(arr, 1).of(starts, starts + size)
                     w["rid"], w["p"] = rid, starts
                     out.append(w)
-            found = [(k, 1, b"".join(v)) for k, v in plain.items()]
+            found = [(k, 1, b"".join([len(heads).to_bytes(8, "little"), np.array(heads, "<i8").tobytes(), *parts])) for k, (heads, parts) in plain.items()]
             if out:
                 w = earliest(np.concatenate(out))
                 found += _dealt(2, (w["h"] % np.uint64(buckets)).astype(np.int64), w)
@@ -418,37 +440,50 @@ def compared(rid: np.ndarray, lo: np.ndarray, parts: list[bytes], size: int = SI
     return merged(out)
 
 
+def compared_by_anchor(blobs: list[bytes], size: int = SIZE, shard: int = SHARD) -> Iterator[np.ndarray]:
+    """COVER rows of the contexts of a bucket, a lot of whole anchors after another."""
+    heads, at = [], []
+    for i, blob in enumerate(blobs):
+        n = int.from_bytes(blob[:8], "little")
+        head = np.frombuffer(blob, "<i8", 4 * n, 8).reshape(n, 4)
+        ends = 8 + 32 * n + np.cumsum(head[:, 3])
+        heads.append(head)
+        at.append(np.stack([np.full(n, i), ends - head[:, 3], ends], 1))
+    head, place = np.concatenate(heads), np.concatenate(at)
+    by = np.argsort(head[:, 0], kind="stable")
+    head, place = head[by], place[by]
+    first = np.flatnonzero(np.r_[True, head[1:, 0] != head[:-1, 0]])
+    sizes = np.add.reduceat(head[:, 3], first)
+    low = total = 0
+    for begin, n in zip([*first.tolist(), len(head)], [*sizes.tolist(), shard], strict=True):
+        if total and total + n > shard:
+            parts = [blobs[i][x:y] for i, x, y in place[low:begin].tolist()]
+            yield compared(head[low:begin, 1], head[low:begin, 2], parts, size, shard)
+            low, total = begin, 0
+        total += n
+
+
 def compared_covers(dealt: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[bytes]] = {}
-        for bucket, kind, blob in _blobs(batches):
-            held.setdefault((kind, bucket), []).append(blob)
-        for kind, bucket in sorted(held):
-            blob = b"".join(held.pop((kind, bucket)))
-            if kind == 2:
-                w = earliest(np.frombuffer(blob, WINDOW))
+        for held in _by_bucket(batches):
+            for c in compared_by_anchor(held.pop(1), size) if 1 in held else ():
+                yield _found(0, c["rid"], c["lo"], c["hi"], c["rid"])
+            if 2 in held:
+                w = earliest(np.frombuffer(b"".join(held.pop(2)), WINDOW))
                 w = w[1:][(w["h"][1:] == w["h"][:-1]) & (w["g"][1:] == w["g"][:-1])]
                 c = np.zeros(len(w), COVER)
                 c["rid"], c["lo"], c["hi"] = w["rid"], w["p"], w["p"] + size
                 c = merged(c)
-            else:
-                at, heads, parts = 0, [], []
-                while at < len(blob):
-                    head = np.frombuffer(blob, "<i8", 3, at)
-                    heads.append(head[:2])
-                    parts.append(blob[at + 24 : at + 24 + head[2]])
-                    at += 24 + int(head[2])
-                head = np.array(heads)
-                c = compared(head[:, 0], head[:, 1], parts, size)
-            yield _found(0, c["rid"], c["lo"], c["hi"], c["rid"])
+                yield _found(0, c["rid"], c["lo"], c["hi"], c["rid"])
 
-    return dealt.repartition("bucket").mapInArrow(run, FOUND).select("rid", "a", "b")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND).select("rid", "a", "b")
 
 
 def ordered(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, raw (the text's bytes), the columns `keep`, and rid: a number of its own for each row in the order of documents, the doc_id
-    where ids are single."""
-    base = docs.select("doc_id", *keep, F.col("doc_id").cast("long").alias("rid"), text_bytes().alias("raw"))
+    """doc_id, raw (the text's bytes), the columns `keep` as the struct `kept` (if any), and rid: a number of its own for each row in the
+    order of documents, the doc_id where ids are single."""
+    kept_ = [F.struct(*keep).alias("kept")] if keep else []
+    base = docs.select("doc_id", *kept_, F.col("doc_id").cast("long").alias("rid"), text_bytes().alias("raw"))
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
         return base
@@ -460,7 +495,7 @@ def ordered(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         before[part] = total
         total += count
     offsets = docs.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_part int, _before long")
-    return kept.join(F.broadcast(offsets), "_part").select("doc_id", *keep, (F.col("_before") + F.col("_at")).alias("rid"), "raw")
+    return kept.join(F.broadcast(offsets), "_part").select("doc_id", *(["kept"] if keep else []), (F.col("_before") + F.col("_at")).alias("rid"), "raw")
 
 
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -468,12 +503,10 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(settled(dealt_anchors(docs, 4 * parts, size, gram), hot), "repeat-contexts")
-    release(spark)
     wanted = found.where("kind > 0")
     n = wanted.count()
-    buckets = max(4 * parts, n // 4096)
+    buckets = max(4 * parts, n // BUCKET)
     more = materialize(compared_covers(dealt_contexts(docs, wanted, buckets, size), size), "repeat-covers")
-    release(spark)
     covers = found.where("kind = 0").select("rid", "a", "b").union(more)
     return covers.groupBy("rid").agg(F.collect_list(F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"))).alias("covers"))
 
@@ -489,10 +522,14 @@ def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
 
 def without_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans and the columns `keep` for every row of docs(doc_id, text)."""
+    if not GRAM <= size <= 255:
+        raise ValueError(f"size is from {GRAM} to 255 bytes")
+    if taken := {"doc_id", "kept", "n_bytes", "n_removed", "n_spans"}.intersection(keep):
+        raise ValueError(f"names of results: {sorted(taken)}")
     numbered = ordered(docs, keep)
     covers = repeats(numbered.select("rid", "raw"), size)
-    kinds = dict(docs.dtypes)
-    names = ["doc_id", *keep]
+    names = ["doc_id", *(["kept"] if keep else [])]
+    kinds = dict(numbered.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22, "raw"):
@@ -503,8 +540,9 @@ def without_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = (
                 out.append((*cut(raw, lo, hi), len(raw)))
             kept, removed, spans, n = zip(*out, strict=True) if out else ([],) * 4
             fresh = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, removed, spans))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *fresh], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *fresh], names=[*names, "left", "n_bytes", "n_removed", "n_spans"])
 
     joined = numbered.join(covers, "rid", "left")
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", kept binary, n_bytes long, n_removed long, n_spans long"
-    return joined.select(*names, "raw", "covers").mapInArrow(run, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", left binary, n_bytes long, n_removed long, n_spans long"
+    out = joined.select(*names, "raw", "covers").mapInArrow(run, schema)
+    return out.select("doc_id", F.col("left").alias("kept"), "n_bytes", "n_removed", "n_spans", *(F.col("kept")[c].alias(c) for c in keep))
