@@ -101,6 +101,21 @@ def test_every_context_of_training_is_known(spark):
         assert rows[i].score == pytest.approx(trie.score([texts[i]])[0], abs=1e-4)
 
 
+def test_scores_do_not_depend_on_blocks(spark, repeated, monkeypatch):
+    """Nor on pieces: rows that repeat, have no id, or are longer than a block."""
+    want = sorted(ppm_score.scores(repeated.select("doc_id", "text"), id_crc() % 10 != 0).collect(), key=str)
+    counts = ppm_score.block_counts
+    monkeypatch.setattr(ppm_score, "blocks", lambda docs, where, _, f=ppm_score.blocks: f(docs, where, 3, 400))
+    monkeypatch.setattr(ppm_score, "block_counts", lambda blocked, *a: counts(blocked.repartition(5), *a))
+    got = sorted(ppm_score.scores(repeated.select("doc_id", "text"), id_crc() % 10 != 0).collect(), key=str)
+    assert len(want) == len(got) == repeated.count()
+    for a, b in zip(want, got, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6)
+    codes, of = map(np.concatenate, zip(*ppm_score.coded(["ab", "", "abc"], 3, 2), strict=True))
+    whole, at = map(np.concatenate, zip(*ppm_score.coded(["ab", "", "abc"], 3), strict=True))
+    assert codes.tolist() == whole.tolist() and of.tolist() == at.tolist() == [0, 0, 0, 1, 2, 2, 2, 2]
+
+
 # near copies
 
 

@@ -9,17 +9,19 @@ training texts have is known, so the model grows with the corpus, and no place h
 those codes. A bucket has all of the contexts that end in the same SUFFIX bytes, of any block, so it works out their probabilities by
 itself; only the counts of shorter contexts, which the alphabet bounds and not the corpus, go to all buckets.
 
-The base is an add-0.1 unigram model over words, whose table grows with the corpus. Each block of rows sends its distinct words (as 64-bit
-hashes) with their counts, and gets back the corpus counts of just those words; texts meet their block's counts once.
-
-The table given must read back in the same order (stored files do), as rows find their blocks by it; a word without a count is an error.
-Null text counts as empty: one end token. With nothing to train on, all symbols are alike (score) and the base falls to its formula with
-N = V = 0. A null id counts as the empty text for the training split.
+The base is an add-0.1 unigram model over words, whose table grows with the corpus. It goes the same way: each block sends its distinct words
+(as 64-bit hashes) with their training counts, cut into buckets by hash, and gets back the corpus counts of just those words. A word,
+however common, is one number of a block.
+
+A block is about BLOCK bytes of text, by the place of rows in their partition; a text of BLOCK / 4 bytes or more is a block of its own. The
+table is read twice and has to give rows the same blocks each time, as stored files do; if it doesn't, it is an error. Null text counts as empty: one end token. With nothing to train on, all symbols are alike (score) and the
+base falls to its formula with N = V = 0. A null id counts as the empty text for the training split; rows that repeat, in id or text or
+both, are rows of their own, each learned from and scored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,44 +29,85 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, rows, strings
+from .common import discard, materialize, rows, trim
 
 END, SYMBOLS, WIDE = 256, 257, 9
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BLOCK = 11  # a block is 2**BLOCK rows of a partition
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+BLOCK = 12 << 20  # bytes of text
 SUFFIX = 3  # bytes of context that contexts of a bucket share
 
 
-def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes one after another, A-Z in lower case, and the size of each; null as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return _LOWER[data[offsets[0] : offsets[-1]]], np.diff(offsets)
+
+
+def symbols(texts: list[str] | pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' symbols, each text with `order` start symbols and an end, and where each text ends."""
-    parts, edge = [], np.full(order, END, np.int16)
-    for t in texts:
-        parts += [edge, np.frombuffer(t.encode().translate(_LOWER), np.uint8).astype(np.int16), edge[:1]]
-    sizes = np.array([len(p) for p in parts], np.int64).reshape(-1, 3).sum(1)
-    return np.concatenate(parts) if parts else edge[:0], np.cumsum(sizes)
+    data, sizes = lowered(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    out = np.full(len(data) + len(sizes) * (order + 1), END, np.int16)
+    ends = np.cumsum(sizes + order + 1)
+    at = 0
+    for end, n in zip(ends.tolist(), sizes.tolist(), strict=True):
+        out[end - 1 - n : end - 1] = data[at : at + n]
+        at += n
+    return out, ends
 
 
 def codes(s: np.ndarray, order: int) -> np.ndarray:
     """The packed windows of order + 1 symbols of s."""
     code = np.zeros(max(0, len(s) - order), np.int64)
     for i in range(order + 1):
-        code = (code << WIDE) | s[i : len(s) - order + i]
+        code <<= WIDE
+        code |= s[i : len(s) - order + i]
     return code
 
 
+def coded(texts: list[str] | pa.Array, order: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of all symbols that are coded, and the text of each, `most` symbols at a time."""
+    s, ends = symbols(texts, order)
+    starts = np.r_[0, ends[:-1]][: len(ends)]
+    inside = np.ones(len(s), bool)  # start symbols are given, not coded
+    for i in range(order):
+        inside[starts + i] = False
+    for low in range(order, len(s), most):
+        high = min(len(s), low + most)
+        first, last = np.searchsorted(ends, (low, high - 1), "right").tolist()
+        cuts = np.clip(np.r_[starts[first : last + 1], high], low, high)
+        own = inside[low:high]
+        yield codes(s[low - order : high], order)[own], np.repeat(np.arange(first, last + 1), np.diff(cuts))[own]
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, rising, and how often each stands in x."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    return x[first], np.diff(np.r_[first, len(x)])
+
+
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(context and symbol, count), packed WIDE bits a symbol, the latest lowest."""
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s, ends = symbols(texts, order)
-    code = codes(s, order)
-    inside = np.ones(len(code), bool)  # drop windows across two texts
-    for e in ends[:-1]:
-        inside[e - order : e] = False
-    return np.unique(code[inside], return_counts=True)
+    return distinct(np.concatenate([np.zeros(0, np.int64), *(code for code, _ in coded(texts, order))]))
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different words of the texts, which of them each word is, and which text it is in."""
+    data, sizes = lowered(texts)
+    whole = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.r_[0, np.cumsum(sizes)]), pa.py_buffer(data))
+    split = pc.ascii_split_whitespace(whole)
+    flat, of = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    some = pc.not_equal(pc.binary_length(flat), 0)  # white space at an edge leaves an empty one
+    flat, of = flat.filter(some).dictionary_encode(), of[some.to_numpy(zero_copy_only=False)]
+    found = flat.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64)
+    return hashes, flat.indices.to_numpy().astype(np.int32), of.astype(np.int32)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -76,7 +119,9 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel())
 
 
-def _buckets(code: np.ndarray, order: int, buckets: int) -> np.ndarray:
+def _buckets(kind: int, code: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    if kind == WORDS:
+        return ((code.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     suffix = (code >> WIDE) & ((1 << WIDE * min(order, SUFFIX)) - 1)
     return ((suffix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
 
@@ -86,41 +131,75 @@ def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both, np.bincount(at, n, len(both)).astype(np.int64)
 
 
-def block_grams(blocked: DataFrame, order: int, buckets: int) -> DataFrame:
-    """block, bucket, code, n (times in training texts; both packed, codes rising) over blocked(block, text, train), whose rows of a block come
-    together."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several (rising numbers, counts)."""
+    code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(code, kind="stable")  # runs that are sorted already
+    code, n = code[by], n[by]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, code, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            of = _buckets(code, order, buckets)
-            by = np.argsort(of, kind="stable")
-            present, first = np.unique(of[by], return_index=True)
-            parts = np.split(by, first[1:])
-            cols = [pa.array(np.full(len(present), at, np.int64)), pa.array(present), pa.array([_packed(code[i]) for i in parts], pa.binary()), pa.array([_packed(n[i]) for i in parts], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "code", "n"])
+def _add(held: list[tuple[np.ndarray, np.ndarray]], *parts: tuple[np.ndarray, np.ndarray]) -> None:
+    """Append parts, merged from time to time."""
+    held += parts
+    if len(held) > 12:
+        held[:] = [_merged(held)]
+
+
+GRAMS, WORDS = 0, 1
+ASKED = "block long, kind int, bucket long, code binary, n binary"
+
+
+def blocks(docs: DataFrame, train_where: Column, rows_: int, long: int = BLOCK // 4) -> DataFrame:
+    """doc_id, text, train and block of every row of docs(doc_id, text)."""
+    at = F.monotonically_increasing_id()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train_where, F.lit(False)).alias("train"), at.alias("at"))
+    block = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) < long, F.shiftright("at", max(1, rows_).bit_length() - 1)).otherwise(-F.col("at") - 1)
+    return own.withColumn("block", block).drop("at")
+
+
+def block_counts(blocked: DataFrame, order: int, buckets: int) -> DataFrame:
+    """ASKED over blocks(): codes (GRAMS) and hashes (WORDS) that stand in a block, rising, and how often in its training texts, both packed. A
+    block whose rows don't come together has several rows for a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
 
         for batch in rows(batches, 1 << 22):
             block, learn = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("block", "train"))
-            texts = strings(batch)
-            starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1]
-            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)], strict=True):
-                if block[low] != at:
-                    if at is not None:
-                        yield out()
-                    at, code, n = block[low], code[:0], n[:0]
-                trained, counts = grams([texts[i] for i in range(low, high) if learn[i]], order)
-                asked, _ = grams([texts[i] for i in range(low, high) if not learn[i]], order)
-                code, n = _summed(np.concatenate([code, trained, asked]), np.concatenate([n, counts, np.zeros(len(asked), np.int64)]))
-        if at is not None:
-            yield out()
-
-    return blocked.select("block", "train", "text").mapInArrow(run, "block long, bucket long, code binary, n binary")
+            text = batch.column(batch.schema.get_field_index("text"))
+            turn = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(block[turn]) != 0, True])
+            for low, high in zip(edges, edges[1:], strict=False):
+                own, train, at = text.take(pa.array(turn[low:high])), learn[turn[low:high]], int(block[turn[low]])
+                for code, of in coded(own, order):
+                    learned = train[of]
+                    asked, n = distinct(code[~learned])
+                    _add(held[at, GRAMS], distinct(code[learned]), (asked, np.zeros_like(n)))
+                hashes, which, of = words(own)
+                by = np.argsort(hashes)
+                _add(held[at, WORDS], (hashes[by], np.bincount(which, train[of], len(hashes)).astype(np.int64)[by]))
+            for key in [k for k in held if k[0] != block[-1]]:
+                yield _asked(*key, *_merged(held.pop(key)), order, buckets)
+            trim()
+        for key, found in held.items():
+            yield _asked(*key, *_merged(found), order, buckets)
+
+    return blocked.select("block", "train", "text").mapInArrow(run, ASKED)
+
+
+def _asked(block: int, kind: int, code: np.ndarray, n: np.ndarray, order: int, buckets: int) -> pa.RecordBatch:
+    of = _buckets(kind, code, order, buckets)
+    by = np.argsort(of, kind="stable")
+    present, first = np.unique(of[by], return_index=True)
+    parts = np.split(by, first[1:]) if len(present) else []
+    cols = [np.full(len(present), block, np.int64), np.full(len(present), kind, np.int32), present]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), *(pa.array([_packed(x[i]) for i in parts], pa.binary()) for x in (code, n))], names=["block", "kind", "bucket", "code", "n"])
 
 
 def short_counts(grams_: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The (context and symbol, count) arrays of contexts of under min(order, SUFFIX) bytes, from block_grams; the alphabet bounds their size."""
+    """The (context and symbol, count) arrays of contexts of under min(order, SUFFIX) bytes, from block_counts; the alphabet bounds their size."""
     longest = min(order, SUFFIX) - 1
     if longest < 0:
         return []
@@ -139,7 +218,7 @@ def short_counts(grams_: DataFrame, order: int) -> list[tuple[np.ndarray, np.nda
         code, n = _summed(np.concatenate([code, *(x[0] for x in held)]), np.concatenate([n, *(x[1] for x in held)]))
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    got = grams_.select("code", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = grams_.where(F.col("kind") == GRAMS).select("code", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, n = (got.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
     return [_summed(code & ((1 << WIDE * (j + 1)) - 1), n) for j in range(longest + 1)]
 
@@ -182,30 +261,37 @@ def log_probabilities(code: np.ndarray, n: np.ndarray, order: int, short: list[t
     return np.log10(p.clip(1e-300))
 
 
-def gram_logs(grams_: DataFrame, order: int) -> DataFrame:
-    """block, bucket, logs (float32, as the bucket's codes stand in block_grams)."""
-    short = short_counts(grams_, order)
+ANSWERED = "block long, kind int, bucket long, answer binary, v long, n long"
 
-    def run(asked: pa.Table) -> pa.Table:
-        asked = asked.combine_chunks()
-        code = [_unpacked(x) for x in asked.column("code").to_pylist()]
-        n = np.concatenate([_unpacked(x) for x in asked.column("n").to_pylist()])
-        both, at = np.unique(np.concatenate(code), return_inverse=True)
-        logs = log_probabilities(both, np.bincount(at, n, len(both)).astype(np.int64), order, short).astype("<f4")
-        out = [logs[i].tobytes() for i in np.split(at, np.cumsum([len(x) for x in code])[:-1])]
-        return pa.Table.from_arrays([asked.column("block"), asked.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "logs"])
 
-    return grams_.groupBy("bucket").applyInArrow(run, "block long, bucket long, logs binary")
+def answers(asked: DataFrame, order: int) -> DataFrame:
+    """ANSWERED: for the codes of a block and bucket of block_counts, as they stand there, logarithms (float32), for its hashes counts (int64).
+    v and n, on one row of a bucket of words: its different words in training texts, and all of them."""
+    short = short_counts(asked, order)
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.select(["block", "code", "n"]).combine_chunks().sort_by("block")
+        block = table.column("block").to_numpy()
+        code = [_unpacked(x) for x in table.column("code").to_pylist()]
+        both, at = np.unique(np.concatenate(code), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpacked(x) for x in table.column("n").to_pylist()]), len(both)).astype(np.int64)
+        v = total = 0
+        if key[0].as_py() == GRAMS:
+            answer = log_probabilities(both, n, order, short).astype("<f4")
+        else:
+            answer, v, total = n.astype("<i8"), np.count_nonzero(n), int(n.sum())
+        ends = np.cumsum([len(x) for x in code])
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        last = np.r_[first[1:], len(block)]
+        out = []
+        for i, j in zip(first.tolist(), last.tolist(), strict=True):
+            own = at[ends[i] - len(code[i]) : ends[j - 1]]
+            out.append(answer[own if j == i + 1 else np.unique(own)].tobytes())
+        m = len(out)
+        cols = [block[first], np.full(m, key[0].as_py(), np.int32), np.full(m, key[1].as_py()), out, np.r_[v, np.zeros(m - 1, np.int64)], np.r_[total, np.zeros(m - 1, np.int64)]]
+        return pa.table(dict(zip(("block", "kind", "bucket", "answer", "v", "n"), cols, strict=True)))
 
-def coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all symbols that are coded, in order, and where each text's begin."""
-    s, ends = symbols(texts, order)
-    starts = np.r_[0, ends[:-1]]
-    inside = np.ones(len(s), bool)  # start symbols are given, not coded
-    for i in range(order):
-        inside[starts + i] = False
-    return codes(s, order)[inside[order:]], starts - order * np.arange(len(texts))
+    return asked.groupBy("kind", "bucket").applyInArrow(run, ANSWERED)
 
 
 class Logs:
@@ -221,18 +307,14 @@ class Logs:
         return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def of(self, code: np.ndarray) -> np.ndarray:
-        if len(code) and not len(self.code):
-            raise ValueError(ORDER)
-        at = self.slots[self._slot(code)]
-        other = np.flatnonzero(self.code[at] != code)
-        found, there = _found(self.code, code[other])
-        if not there.all():
-            raise ValueError(ORDER)
-        at[other] = found
-        return self.logs[at]
-
-
-ORDER = "a block has codes without a logarithm: the table's rows came in another order"
+        out = np.empty(len(code), self.logs.dtype)
+        for low in range(0, len(code), 1 << 15):  # what fits the cache
+            own = code[low : low + (1 << 15)]
+            at = self.slots[self._slot(own)]
+            other = np.flatnonzero(self.code[at] != own)
+            at[other] = np.searchsorted(self.code, own[other])
+            out[low : low + len(own)] = self.logs[at]
+        return out
 
 
 @dataclass
@@ -307,40 +389,15 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], order: int, discount: flo
     return Trie(order, classes, move, logp)
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode().translate(_LOWER).split()
-
-
-def _hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64)
-
-
-def block_words(blocked: DataFrame) -> DataFrame:
-    """block, word (hash), n (times in training texts) over blocked(block, text, train), whose rows of a block come together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, all_words, counts = None, set(), Counter()
-
-        def out() -> pa.RecordBatch:
-            found = list(all_words)
-            n = np.fromiter(map(counts.__getitem__, found), np.int64, len(found))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at, np.int64)), pa.array(_hashes(found)), pa.array(n)], names=["block", "word", "n"])
-
-        for batch in rows(batches, 1 << 22):
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "train")]
-            for block, learn, text in zip(*cols, strings(batch), strict=True):
-                if block != at:
-                    if at is not None:
-                        yield out()
-                    at, all_words, counts = block, set(), Counter()
-                found = words(text)
-                all_words.update(found)
-                if learn:
-                    counts.update(found)
-        if at is not None:
-            yield out()
-
-    return blocked.select("block", "train", "text").mapInArrow(run, "block long, word long, n long")
+def _in_order(answer: pa.Table, kind: int, code: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    """A block's answers of one kind, as its codes stand."""
+    own = answer.filter(pc.equal(answer.column("kind"), kind)).sort_by("bucket")
+    got = np.frombuffer(b"".join(own.column("answer").to_pylist()), "<f4" if kind == GRAMS else "<i8")
+    if len(got) != len(code):
+        raise ValueError("a block has other texts than when it was counted: the table's rows came in another order")
+    out = np.empty(len(code), got.dtype)
+    out[np.argsort(_buckets(kind, code, order, buckets), kind="stable")] = got
+    return out
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -348,61 +405,44 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scores(docs: DataFrame, train_where: Column, order: int = 5) -> DataFrame:
     """SCHEMA for every row of docs(doc_id, text); those where train_where holds are learned from."""
-    blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_where.alias("train"))
-    blocked = blocked.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK))
-    size = blocked.agg(F.count("*").alias("n"), F.count_if("train").alias("texts")).first()
-    buckets = max(256, size.n >> (BLOCK + 3))
-    grams_ = materialize(block_grams(blocked, order, buckets), "ppm")
-    logged = materialize(gram_logs(grams_, order), "ppm-logs")
-    discard(grams_)
-    of = Window.partitionBy("word").orderBy("block")
-    counted = materialize(
-        block_words(blocked).select(
-            "block", "word", F.sum("n").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("c"), (F.row_number().over(of) == 1).alias("first")
-        ),
-        "ppm-words",
-    )
+    size = docs.agg(F.count("*").alias("rows"), F.count_if(train_where).alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocked = blocks(docs, train_where, BLOCK * size.rows // max(1, size.bytes or 0))
+    buckets = max(256, (size.bytes or 0) >> 26)
+    asked = materialize(block_counts(blocked, order, buckets), "ppm")
+    answered = materialize(answers(asked, order), "ppm-answers")
+    discard(asked)
     texts = size.texts
-    known = counted.where("first and c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    n, v = (known.n or 0) + texts, known.v + (texts > 0)
+    known = answered.where(F.col("kind") == WORDS).agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    n, v = (known.n or 0) + texts, (known.v or 0) + (texts > 0)
     floor = np.log10(n + 0.1 * (v + 1))
     end = np.log10(texts + 0.1) - floor
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_words, of_grams = right.filter(pc.is_null(right.column("logs"))), right.filter(pc.is_valid(right.column("logs"))).sort_by("word")
-        got = of_words.column("word").to_numpy(), of_words.column("c").to_numpy()
-        by = np.argsort(got[0])
-        table, c = got[0][by], got[1][by]
-        index: dict[bytes, int] = {}
-        out = []
-        logs = np.log10(c + 0.1) - floor
-        batches = list(rows(left.to_batches(), 1 << 21))
-        code = np.zeros(0, np.int64)
+        batches = list(rows(left.select(["doc_id", "text", "train"]).to_batches(), 1 << 21))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            code = np.unique(np.concatenate([code, np.unique(coded(strings(batch), order)[0])]))
-        values = np.frombuffer(b"".join(of_grams.column("logs").to_pylist()), "<f4")
-        if len(values) != len(code):
-            raise ValueError(ORDER)
-        gram_log = np.empty(len(code))
-        gram_log[np.argsort(_buckets(code, order, buckets), kind="stable")] = values
-        lookup = Logs(code, gram_log)
-        for batch in batches:
-            found = strings(batch)
-            split = [words(t) for t in found]
-            new = list({w for ws in split for w in ws if w not in index})
-            if new:
-                hashed = _hashes(new)
-                at = np.searchsorted(table, hashed)
-                if not len(table) or (table[np.minimum(at, len(table) - 1)] != hashed).any():
-                    raise ValueError("a block has words without a count: the table's rows came in another order")
-                index |= zip(new, at.tolist(), strict=True)
-            own, starts = coded(found, order)
-            model = np.add.reduceat(lookup.of(own), starts) if found else np.zeros(0)
-            for doc_id, learned, ws, score in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), split, model.tolist(), strict=True):
-                at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-                out.append((doc_id, not learned, len(ws) + 1, int((c[at] > 0).sum()) + (texts > 0), n, float(logs[at].sum() + end), score))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    back = counted.select("block", "word", "c", F.lit(None).cast("binary").alias("logs")).union(logged.select("block", "bucket", F.lit(None).cast("long"), "logs"))
-    return blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, SCHEMA)
+            for code, _ in coded(batch.column(1), order):
+                _add(parts, distinct(code))
+        code = _merged(parts)[0]
+        split = [words(batch.column(1)) for batch in batches]
+        lookup = Logs(code, _in_order(right, GRAMS, code, order, buckets))
+        hashes = distinct(np.concatenate([x for x, _, _ in split]))[0]
+        count = _in_order(right, WORDS, hashes, order, buckets)
+        log = np.log10(count + 0.1) - floor
+        out = []
+        for batch, (own, which, of) in zip(batches, split, strict=True):
+            at = np.searchsorted(hashes, own)[which]
+            m = len(batch)
+            model = np.zeros(m)
+            for code, text in coded(batch.column(1), order):
+                model += np.bincount(text, lookup.of(code), m)
+            cols = [
+                batch.column(0), pc.invert(batch.column(2)), np.bincount(of, minlength=m) + 1, np.bincount(of, count[at] > 0, m).astype(np.int64) + (texts > 0),
+                np.full(m, n), np.bincount(of, log[at], m) + end, model,
+            ]
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")]))
+        trim()
+        return pa.Table.from_batches(out)
+
+    return blocked.groupBy("block").cogroup(answered.select("block", "kind", "bucket", "answer").groupBy("block")).applyInArrow(run, SCHEMA)
