@@ -1,13 +1,16 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is encoded: counted features of its bytes and words go through a learned layer to an
-embedding. Gated attention weighs the embeddings of a bag, a = softmax(w . (tanh(V h) * sigmoid(U h))), and the weighted sum, the bag's
-representation, gives the score by logistic regression. All weights are learned together, from document labels only, by full-batch Adam
-in numpy on a bounded sample of labelled documents (`sample` documents by hash of the id, and `passages` passages of each, spread evenly).
-The model is a few thousand numbers, sent to the tasks that score whole texts.
-
-A text without a word is one passage of zeros: it has a score like any other. Labels, lang, source and doc_id are no inputs of a score.
-Without labelled rows of both classes there is nothing to learn, and the score is the share of label 1 (0.5 without any).
+A document is a bag of passages. Every passage is encoded by what stands in it (kinds of bytes, sizes and variety of words, hashed byte
+triples) and by how much of it stood in the document before; these features go through a learned layer to an embedding. Gated attention
+weighs the embeddings of a bag, a = softmax(w . (tanh(V h) * sigmoid(U h))), and the weighted sum, the bag's representation, gives the
+score by logistic regression. All weights are learned together, from document labels only, by full-batch Adam in numpy on a bounded sample
+of labelled documents: `sample` of them at most by hash of the id, and of these, in that order, those that fit into `passages` passages
+in all; each counts with its whole text. The model is a few thousand numbers, sent to the tasks that score whole texts.
+
+A text without a word, or null, is one passage of zeros: it has a score like any other. Labels, lang, source and doc_id are no inputs of a
+score. Without labelled rows of both classes there is nothing to learn, and the score is the share of label 1 (0.5 without any).
+A null id has no label and is scored like others. Rows that repeat an id are each scored by their own text; a label counts for every row of
+its id, and of several labels of one id the highest stands. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, strings
+from .common import materialize, rows, strings
 
 WORDS = 64  # of a passage
 _KINDS = np.zeros(256, np.int64)
 for _b in range(256):
     _c = chr(_b)
     _KINDS[_b] = 9 if _b > 127 else 0 if _c.islower() else 1 if _c.isupper() else 2 if _c.isdigit() else 3 if _c in " \t\r\x0b\x0c" else 4 if _c == "\n" else 5 if _c in ".," else 6 if _c in "!?" else 7 if _c in "|/\\_-=+<>[]{}()" else 8
-KINDS, FEATURES = 10, 24
+KINDS, GRAMS = 10, 64
+FEATURES = 23 + GRAMS
 
 
 def encode(text: str | None) -> np.ndarray:
@@ -69,10 +73,27 @@ def encode(text: str | None) -> np.ndarray:
         out[i, 18] = len(set(zip(own, own[1:], strict=False))) / max(1, len(own) - 1)
     out[:, 19] = count / WORDS
     out[:, 20] = np.bincount(of_word, sizes == 1, n) / count
-    out[:, 21] = len(set(words)) / len(words)
-    out[:, 22] = np.log1p(len(words)) / 10
-    lines = raw.split(b"\n")
-    out[:, 23] = len(set(lines)) / len(lines)
+    # how much stood in the document before: word pairs of earlier passages, and earlier lines
+    before: set = set()
+    for i in range(n):
+        own = words[i * WORDS : (i + 1) * WORDS]
+        pairs = set(zip(own, own[1:], strict=False))
+        out[i, 21] = len(pairs & before) / max(1, len(pairs))
+        before |= pairs
+    again, lines = np.zeros(len(words)), set()
+    at = 0
+    for line in raw.split(b"\n"):
+        m = len(line.split())
+        if m and line in lines:
+            again[at : at + m] = 1
+        lines.add(line)
+        at += m
+    out[:, 22] = np.bincount(of_word, again, n) / count
+    if len(a) > 2:
+        low = a.astype(np.uint32)
+        triple = ((low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 6)
+        hist = np.bincount(of_byte[:-2] * GRAMS + triple, minlength=n * GRAMS).reshape(n, GRAMS)
+        out[:, 23:] = np.sqrt(hist / np.maximum(hist.sum(1, keepdims=True), 1))
     return out
 
 
@@ -92,7 +113,7 @@ class Model:
 
     def forward(self, x: np.ndarray, bag: np.ndarray, n: int) -> tuple[np.ndarray, dict]:
         p = self.p
-        h = np.tanh(x @ p["E"] + p["e"])
+        h = np.tanh((x @ p["E"].astype(x.dtype)).astype(np.float64) + p["e"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         logit = (t * s) @ p["w"]
         starts = np.flatnonzero(np.r_[True, np.diff(bag) > 0])  # each bag has a passage at least
@@ -117,7 +138,7 @@ class Model:
         g["V"], g["U"] = k["h"].T @ dt, k["h"].T @ ds
         dh += dt @ p["V"].T + ds @ p["U"].T
         dh *= 1 - k["h"] ** 2
-        g["E"], g["e"] = x.T @ dh, dh.sum(0)
+        g["E"], g["e"] = x.T @ dh.astype(x.dtype), dh.sum(0)
         return {name: v + decay * p[name] for name, v in g.items()}
 
     def fit(self, bags: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.02, decay: float = 1e-5) -> Model:
@@ -143,12 +164,11 @@ class Model:
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if not self.learned or not bags:
             return np.full(len(bags), self.share)
-        x = np.clip((np.concatenate(bags) - self.mean) / self.scale, -8, 8)
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        return self.forward(x, bag, len(bags))[0]
+        return self.forward(np.clip((np.concatenate(bags) - self.mean) / self.scale, -8, 8), bag, len(bags))[0]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 5000, passages: int = 16) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 5000, passages: int = 100_000) -> Model:
     """A model of labels(doc_id, quality) over docs(doc_id, text); bounded by sample and passages."""
     chosen = (
         labels.where("doc_id is not null and quality is not null")
@@ -157,21 +177,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 5000, passages: int
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
         .limit(sample)
     )
-    picked = chosen.collect()  # `sample` rows at most
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in picked], "label_id long, quality int")
+    picked = [(r.doc_id, r.quality, at) for at, r in enumerate(chosen.collect())]  # `sample` rows at most
+    chosen = docs.sparkSession.createDataFrame(picked, "label_id long, quality int, turn int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22):
-            out = []
-            for doc_id, text, quality in zip(batch.column(0).to_pylist(), strings(batch), batch.column(2).to_pylist(), strict=True):
-                x = encode(text)
-                x = x[np.linspace(0, len(x) - 1, min(len(x), passages)).astype(int)]
-                out.append((doc_id, quality, x.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "quality", "x"])
+            x = [encode(t) for t in strings(batch)]
+            cols = [batch.column(0), batch.column(2), pa.array(map(len, x), pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["turn", "quality", "n", "x"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    got = own.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    encoded = materialize(own.select("turn", "text", "quality").mapInArrow(run, "turn int, quality int, n long, x binary"), "bags")
+    sizes = sorted((r.turn, r.n) for r in encoded.groupBy("turn").agg(F.sum("n").alias("n")).collect())
+    fits, total = [], 0
+    for turn, n in sizes:
+        if total + n <= passages:
+            fits.append(turn)
+            total += n
+    got = encoded.where(F.col("turn").isin(fits)).collect()
+    got.sort(key=lambda r: (r.turn, bytes(r.x)))
     return Model().fit([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got], [r.quality for r in got])
 
 
