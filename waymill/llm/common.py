@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,12 +17,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("waymill.shared.dir", None)
         if not base:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all share")
             base = "file://" + tempfile.mkdtemp(prefix="waymill-")
             spark.conf.set("waymill.shared.dir", base)
     return base.rstrip("/")

@@ -1,13 +1,13 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A text's UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, are the samples of an 8-bit grey image, 576 wide, stored
-losslessly as PNG. Each task writes its images, one of each content, into one tar shard in the shared folder; the member's name is the
-SHA-256 of the payload. Rows carry digest, shard, offset and length. Metadata columns are filled by range reads of the first 33 bytes of
-a member (signature and IHDR); payloads come back by a range read of the whole member.
+losslessly as PNG. Each task writes its images, one of each content, into tar shards in the shared folder, and begins a new shard at
+SHARD bytes or ROWS rows. Members are named by the SHA-256 of the payload, shards by the SHA-256 of their members' names, so a task that
+is run again writes the same shards over. The index (digest, shard, offset, length for each row) is written once, and where tasks stored
+equal contents, all rows are pointed to the first of them; the other members stay unused. Metadata columns are filled by range reads of
+the first 33 bytes of a member (signature and IHDR); payloads come back by a range read of the whole member, one at a time.
 
-A shard is written under a name of its own for each attempt and renamed at its end, so a task that is run again leaves a whole shard and
-the rows that are kept name a shard that exists. Null text counts as empty (one row of 255s); equal texts have equal values in all
-columns but shard and offset.
+Null text counts as empty (one row of 255s); equal texts have equal values in all columns. Ids that are null or repeat are rows of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import posixpath
 import tarfile
 import uuid
 import zlib
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, materialize, rows
 
+SHARD, ROWS = 1 << 28, 1 << 16  # bytes and rows after which a task begins a new shard
 WIDTH, HEADER, MAGIC = 576, 33, b"\x89PNG\r\n\x1a\n"
 
 
@@ -84,53 +86,100 @@ def _batch(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def store(docs: DataFrame, root: str | None = None) -> DataFrame:
-    """Write the payloads of docs(doc_id, text) into tar shards under root (a URI; the shared folder by default): STORED, a row each."""
+class Shard:
+    """A tar file in the making, one member for each content."""
+
+    def __init__(self, files: fs.FileSystem, folder: str) -> None:
+        self.files, self.folder = files, folder
+        self.part = f"{folder}/{uuid.uuid4().hex}.part"
+        self.sink, self.pos = files.open_output_stream(self.part, compression=None), 0
+        self.at: dict[bytes, tuple[int, int]] = {}  # digest: offset, length
+        self.held: list[tuple[int | None, int, bytes]] = []
+
+    def add(self, doc_id: int | None, n: int, data: bytes) -> None:
+        digest = hashlib.sha256(data).digest()
+        if digest not in self.at:
+            image = to_png(data)
+            info = tarfile.TarInfo(digest.hex() + ".png")
+            info.size = len(image)
+            head = info.tobuf(tarfile.USTAR_FORMAT)
+            self.sink.write(head + image + b"\0" * (-len(image) % 512))
+            self.at[digest] = self.pos + len(head), len(image)
+            self.pos += len(head) + len(image) + -len(image) % 512
+        self.held.append((doc_id, n, digest))
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """Name the file by its content; the index rows of it."""
+        self.sink.write(b"\0" * 1024)
+        self.sink.close()
+        name = f"{self.folder}/{hashlib.sha256(b''.join(self.at)).hexdigest()}.tar"
+        if self.files.get_file_info(name).type == fs.FileType.NotFound:
+            self.files.move(self.part, name)
+        else:  # the same members in the same order, so the same file
+            self.files.delete_file(self.part)
+        for i in range(0, len(self.held), 4096):
+            yield _batch([(d, n, g.hex(), name, *self.at[g]) for d, n, g in self.held[i : i + 4096]], _STORED)
+
+    def drop(self) -> None:
+        self.sink.close()
+        self.files.delete_file(self.part)
+
+
+def store(docs: DataFrame, root: str | None = None, size: int = SHARD, most: int = ROWS) -> DataFrame:
+    """Write the payloads of docs(doc_id, text) into tar shards under root (a URI; the shared folder by default): STORED, a row each, as written;
+    rows of one content in several shards are not settled yet. Each evaluation writes, so materialize the result."""
     root = root or fresh_path(docs.sparkSession, "media")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = fs.FileSystem.from_uri(root)
         files.create_dir(folder, recursive=True)
-        at: dict[bytes, tuple[int, int]] = {}  # digest: offset, length
-        name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tar"
-        sink, pos, held = files.open_output_stream(name + ".part", compression=None), 0, []
+        shard = None
         try:
-            for batch in batches:
-                for doc_id, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text")), strict=True):
-                    data, n = payload(text)
-                    digest = hashlib.sha256(data).digest()
-                    if digest not in at:
-                        image = to_png(data)
-                        info = tarfile.TarInfo(digest.hex() + ".png")
-                        info.size = len(image)
-                        head = info.tobuf(tarfile.USTAR_FORMAT)
-                        sink.write(head + image + b"\0" * (-len(image) % 512))
-                        at[digest] = pos + len(head), len(image)
-                        pos += len(head) + len(image) + -len(image) % 512
-                    held.append((doc_id, n, digest))
-            sink.write(b"\0" * 1024)
+            for batch in rows(batches, 1 << 22):
+                for doc_id, text in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")), strict=True):
+                    shard = shard or Shard(files, folder)
+                    shard.add(doc_id.as_py(), *payload(text.as_py())[::-1])
+                    if shard.pos >= size or len(shard.held) >= most:
+                        yield from shard.close()
+                        shard = None
+            if shard:
+                yield from shard.close()
+                shard = None
         finally:
-            sink.close()
-        if not held:
-            files.delete_file(name + ".part")
-            return
-        files.move(name + ".part", name)
-        for i in range(0, len(held), 4096):
-            yield _batch([(d, n, g.hex(), name, *at[g]) for d, n, g in held[i : i + 4096]], _STORED)
+            if shard:
+                shard.drop()
 
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(write, STORED)
 
 
-def _reads(batches: Iterator[pa.RecordBatch], root: str, whole: bool) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    files, _ = fs.FileSystem.from_uri(root)
-    name, source = None, None
-    for batch in batches:
-        got = []
+def settled(stored: DataFrame) -> DataFrame:
+    """STORED with all rows of a content at the first place it has. Only contents in several shards are moved, dealt out by digest and shard."""
+    places = stored.select("digest", "shard", "offset", "length").distinct()
+    first = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    moved = materialize(places.join(first, "digest").where("shard <> first.shard").select("digest", "shard", "first"), "media-moved")
+    out = stored.join(moved, ["digest", "shard"], "left")
+    at = [F.coalesce(F.col("first")[c], F.col(c)).alias(c) for c in ("shard", "offset", "length")]
+    return out.select("doc_id", "n_bytes", "digest", *at)
+
+
+def _reads(batches: Iterator[pa.RecordBatch], root: str, whole: bool, at_once: int = 1024) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
+    files, folder = fs.FileSystem.from_uri(root)
+
+    def each(batch: pa.RecordBatch) -> Iterator[bytes]:
+        name, source = None, None
         for shard, offset, length in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length")), strict=True):
             if shard != name:
-                name, source = shard, files.open_input_file(shard)
-            got.append(source.read_at(length if whole else HEADER, offset))
-        yield batch, got
+                if source:
+                    source.close()
+                name, source = shard, files.open_input_file(posixpath.join(folder, posixpath.basename(shard)))
+            yield source.read_at(length if whole else HEADER, offset)
+        if source:
+            source.close()
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, at_once):
+            part = batch.slice(low, at_once)
+            yield part, each(part)
 
 
 def metadata(stored: DataFrame, root: str) -> DataFrame:
@@ -138,8 +187,8 @@ def metadata(stored: DataFrame, root: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, got in _reads(batches, root, False):
-            heads = [header(x) for x in got] or [()] * 3
-            cols = zip(*heads, strict=True) if got else [[]] * 3
+            heads = [header(x) for x in got]
+            cols = zip(*heads, strict=True) if heads else [[]] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names, "width", "height", "depth"])
 
     return stored.mapInArrow(read, STORED + ", width long, height long, depth long")
@@ -171,4 +220,5 @@ def read_back(stored: DataFrame, root: str) -> DataFrame:
 def media_table(docs: DataFrame) -> DataFrame:
     """READ for every row of docs: stored, headers read, payloads read back."""
     root = fresh_path(docs.sparkSession, "media")
-    return read_back(metadata(store(docs, root), root), root)
+    index = settled(materialize(store(docs, root), "media-stored"))
+    return read_back(metadata(index, root), root)
