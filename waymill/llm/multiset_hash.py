@@ -8,15 +8,18 @@ two parts, each summed modulo its own power of two:
 * NEAR lanes of 32 bits (modulo 2**32): a signed count sketch of the paragraph's word triples. It adds up in the same way, and the cosine
   of two sums estimates that of the two documents' triple counts, which gives a likeness between equal and unrelated.
 
-Null text counts as empty; its fingerprint is all zero. Equal texts have equal fingerprints; so have texts that differ in the order of
-paragraphs only. Likeness: 1 for equal fingerprints, otherwise the cosine of the NEAR lanes, held to 0..1; 0 if either has no triple.
+A fingerprint is written as the hexadecimal digits of all lanes, EXACT ones first, little-endian; read back, it can be compared, updated by
+insertion or deletion and added to others. Null text counts as empty; its fingerprint is all zero. Equal texts have equal fingerprints; so
+have texts that differ in the order of paragraphs only. Likeness: 1 for equal fingerprints, otherwise the cosine of the NEAR lanes, held to
+0..1; 0 if either has no triple. Rows that repeat an id, or have none, are rows of their own, in the order of their texts' hashes; null ids
+come first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +68,15 @@ class Sums:
         return self.change(paragraphs, -1)
 
     def hex(self) -> str:
-        """The fingerprint itself, short: a digest of all lanes."""
-        return hashlib.blake2b(self.exact.tobytes() + self.near.tobytes(), digest_size=32).hexdigest()
+        """The fingerprint: all lanes."""
+        return (self.exact.astype("<u8").tobytes() + self.near.astype("<i4").tobytes()).hex()
+
+    @classmethod
+    def of(cls, written: str) -> Sums:
+        """What hex() wrote."""
+        raw, new = bytes.fromhex(written), cls()
+        new.exact, new.near = np.frombuffer(raw, "<u8", EXACT).copy(), np.frombuffer(raw, "<i4", NEAR, 8 * EXACT).copy()
+        return new
 
     def likeness(self, other: Sums) -> float:
         if np.array_equal(self.exact, other.exact) and np.array_equal(self.near, other.near):
@@ -127,24 +137,34 @@ def next_edits(docs: DataFrame, blocks_per_partition: int = 4) -> DataFrame:
     """SCHEMA for every row of docs(doc_id, text), the next document being that of the next larger doc_id (null ids first, repeated ids in
     the order of their texts' hashes), the first for the last.
 
-    Ids are cut into blocks at quantiles; each block also gets the first row of the next block, so texts move once and no task holds more
-    than its blocks. Only block bounds reach the driver.
+    Ids are cut into blocks at quantiles, and an id (or null) with more rows than a block should have is cut again by its texts' hashes; each
+    block also gets the first row of the next block, so texts move once and no task holds more than its blocks. Only block bounds and the
+    ids that are cut again, no more than blocks, reach the driver. Rows alike in id and text stay together.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long"), "text")
+    tie = F.xxhash64("text")
+    base = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))).alias("id"), tie.alias("tie"))
     blocks = blocks_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = base.select(F.col("doc_id").cast("double").alias("id")).where("id is not null")
-    cuts = ids.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    plain = base.withColumn("id", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))
+    rows_ = base.count()
+    # ids with more rows than two blocks, and how many parts they are cut into: under `blocks` of them
+    often = [(r["id"], -(-r["count"] * blocks // rows_)) for r in base.groupBy("id").count().where(F.col("count") > 2 * rows_ // blocks + 1).collect()]
+    cuts = base.where("doc_id is not null").approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
+    alone = [x for id_, _ in often for x in (id_, math.nextafter(id_, math.inf))]  # each such id is a cut of its own
+    splits = sorted({-float("inf"), *cuts, *alone, float("inf")})
     if len(splits) > 2:
-        plain = Bucketizer(splits=splits, inputCol="id", outputCol="cut").transform(plain).withColumn("block", F.col("cut").cast("int")).drop("cut")
+        plain = Bucketizer(splits=splits, inputCol="id", outputCol="cut").transform(base).withColumn("cut", F.col("cut").cast("int"))
     else:
-        plain = plain.withColumn("block", F.lit(0))
-    firsts = sorted((r.block, r.first) for r in plain.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("block", F.col("m.doc_id").alias("first")).collect())
-    before = {b: a for (a, _), (b, _) in pairwise(firsts)} | ({firsts[0][0]: firsts[-1][0]} if firsts else {})
-    follow = spark.createDataFrame([(first, before[b]) for b, first in firsts], "first long, into int")
-    extra = base.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("into").alias("block"), F.lit(1).alias("extra"))
-    rows = plain.select("doc_id", "text", "block", F.lit(0).alias("extra")).union(extra).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartition("block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), "tie").drop("tie")
+        plain = base.withColumn("cut", F.lit(0))
+    parts = spark.createDataFrame(often, "id double, parts int")
+    plain = plain.join(F.broadcast(parts), "id", "left").drop("id")
+    plain = plain.withColumn("part", F.coalesce(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * F.col("parts")).cast("int"), F.lit(0)))
+    least = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("m")
+    bounds = sorted(plain.groupBy("cut", "part").agg(least).select("cut", "part", "m.doc_id", "m.tie").collect(), key=lambda r: r[:2])
+    number = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(bounds)], "block int, cut int, part int")
+    follow = spark.createDataFrame([(*r[2:], i - 1 if i else len(bounds) - 1) for i, r in enumerate(bounds)], "first long, first_tie long, into int")
+    extra = base.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("first_tie")))
+    extra = extra.select("doc_id", "text", F.col("into").alias("block"), F.lit(1).alias("extra"), "tie")
+    own = plain.join(F.broadcast(number), ["cut", "part"]).select("doc_id", "text", "block", F.lit(0).alias("extra"), "tie")
+    both = own.union(extra.dropDuplicates(["block"]) if often else extra)
+    dealt = both.repartition("block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), "tie").drop("tie")
     return dealt.mapInArrow(_chain, SCHEMA)
