@@ -10,9 +10,12 @@ then over all 64 bits.
 
 Copies collapse before: only distinct fingerprints meet. A key's group yields a spanning forest of its verified links, never its pairs,
 and a group over `block` fingerprints is dealt out as pairs of blocks, so no task holds more than two blocks of one key. Components
-come from min-label rounds over written tables.
+come from min-label rounds. What is known of each node (its least neighbour, its root) is written before edges meet it, so that both sides
+of these joins are plain exchanges and a node with very many edges is dealt to several tasks by the adaptive skew join.
 
 Null text counts as empty; texts without a word have fingerprint 0 and link like any other. Texts of fewer words than a shingle are one.
+Rows that repeat, in id or text or both, are rows of their own; a row without an id has a fingerprint and a component like any other, whose
+id is null only if no row of it has one.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import materialize, rows, strings
 _WEIGHTS = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
-def simhash(text: str | None, width: int = 3, distinct: bool = False) -> int:
+def simhash(text: str | None, width: int = 3, distinct: bool = False, seed: int = 42) -> int:
     """The fingerprint, unsigned; of each shingle once only if distinct."""
     words = (text or "").encode().translate(_LOWER).split()
     n = len(words) - width + 1
@@ -45,7 +48,7 @@ def simhash(text: str | None, width: int = 3, distinct: bool = False) -> int:
     if distinct:
         shingles = list(set(shingles))
     h = xxhash.xxh64_intdigest
-    hashed = np.array([h(s, 42) for s in shingles], "<u8")
+    hashed = np.array([h(s, seed) for s in shingles], "<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashed), 1 << 16):
         ones += np.unpackbits(hashed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -195,9 +198,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(small, "cc")
@@ -244,17 +247,18 @@ def alike(sets: list[np.ndarray], least: float, split: int | None = None) -> lis
     return found
 
 
-def verified_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 7, segments: int = 16, block: int = 512) -> DataFrame:
+def verified_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 7, segments: int = 16, block: int = 512, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
     """doc_id, rid and component for every row of docs(rid, doc_id, text), rid being single and the same at each reading. Components are those of texts with a
-    Jaccard similarity of `least` or more over distinct shingles. Fingerprints of distinct words only choose what is compared: all pairs of different
-    texts of one component of fingerprints, which holds every pair within reach. A component over `block` texts is dealt out as pairs of blocks."""
+    Jaccard similarity of `least` or more over distinct shingles. Fingerprints of distinct words, one for each seed, only choose what is compared: all pairs of
+    different texts of one component of links by any of them, which holds every pair within reach. A component over `block` texts is dealt out as pairs of blocks."""
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22):
             texts = strings(batch)
-            fp = np.array([simhash(t, 1, True) for t in texts], np.uint64).astype(np.int64)
+            fps = [np.array([simhash(t, 1, True, seed) for t in texts], np.uint64).astype(np.int64) for seed in seeds]
             same = np.array([xxhash.xxh3_64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(same)], names=["rid", "doc_id", "fp", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), *map(pa.array, fps)], names=["rid", "doc_id", "same", *names])
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("same", "ascending")])
@@ -264,14 +268,21 @@ def verified_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, m
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": same[a], "b": same[b]})
 
-    marked = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mark, "rid long, doc_id long, fp long, same long")
+    marked = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mark, "rid long, doc_id long, same long, " + ", ".join(f"{n} long" for n in names))
     marked = materialize(marked, "near-rows")
-    single = materialize(marked.groupBy("same").agg(F.min("fp").alias("fp"), F.min("rid").alias("rid")), "near-distinct")
-    found = materialize(links(single.select("fp").distinct(), Ring(most, segments)), "near-links")
-    member = materialize(components(found), "near-groups")
-    of = member.select(F.col("node").alias("fp"), "root").union(member.select("root", "root").toDF("fp", "root").distinct())
-    grouped = materialize(single.join(of, "fp", "left").select("same", "rid", F.coalesce("root", "fp").alias("group")), "near-grouped")
-    sizes = grouped.groupBy("group").count().where("count > 1").select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    single = materialize(marked.groupBy("same").agg(F.min(F.struct(*names)).alias("fps"), F.min("rid").alias("rid")).select("same", "rid", "fps.*"), "near-distinct")
+    edges = None  # of texts: those of a fingerprint with the first of them, and the first ones of linked fingerprints
+    for name in names:
+        first = materialize(single.groupBy(F.col(name).alias("fp")).agg(F.min("same").alias("first")), "near-fingerprints")
+        found = links(first.select("fp"), Ring(most, segments))
+        a, b = first.toDF("a", "of_a"), first.toDF("b", "of_b")
+        own = found.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        own = own.union(single.join(first, single[name] == first.fp).select(F.col("same").alias("a"), F.col("first").alias("b")).where("a <> b"))
+        edges = own if edges is None else edges.union(own)
+    member = materialize(components(edges), "near-groups")
+    of = member.select(F.col("node").alias("same"), "root").union(member.select("root", "root").toDF("same", "root").distinct())
+    grouped = materialize(single.join(of, "same").select("same", "rid", F.col("root").alias("group")), "near-grouped")
+    sizes = materialize(grouped.groupBy("group").count().select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "near-sizes")
     asked = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -281,8 +292,8 @@ def verified_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, m
         ),
     )
     dealt = docs.select("rid", "text").join(asked, "rid").withColumn("in", F.explode(pairs)).select("group", "in.pair", "in.side", "same", "text")
-    edges = dealt.groupBy("group", "pair").applyInArrow(verify, "a long, b long")
-    alike_ = materialize(components(edges), "near-components")
+    linked = dealt.groupBy("group", "pair").applyInArrow(verify, "a long, b long")
+    alike_ = materialize(components(linked), "near-components")
     to = alike_.select(F.col("node").alias("same"), "root")
     return marked.join(to, "same", "left").select("doc_id", "rid", F.coalesce("root", "same").alias("component"))
 
@@ -299,6 +310,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, distinct: bool = False, mos
     member = materialize(components(found), "simhash-components")
     of = member.select(F.col("node").alias("fp"), "root").union(member.select("root", "root").toDF("fp", "root").distinct())
     rooted = single.join(of, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
     reached = rooted.join(roots, "root").select("fp", "component_id")
     return marked.join(reached, "fp").select("doc_id", "fp", "component_id")
