@@ -5,15 +5,18 @@ every document a posterior over the domains. Document rates are then sought whos
 rate * tokens * posterior, match a target for each domain: least squares with rates held at or above `least` (0: nonnegative), by
 projected gradient steps. In the metric that weighs a document by its tokens, and with residuals scaled by the inverse Gram matrix
 of the posteriors, the step length is 1 and a document's step depends on its posterior only, so a round is one sum over a small written
-table and the driver sees one number per domain and partition. A target that rates at the bound can't reach is met as nearly as
-least squares allow.
+table and the driver sees one number per domain and partition. Steps are accelerated (Nesterov's momentum, begun anew where it overshoots);
+momentum acts on rates and totals alike, so it needs no further pass. Rounds end where totals meet the targets or move no more: a target that
+rates at the bound can't reach is met as nearly as least squares allow. Rounds that don't come to an end are an error.
 
-A rate becomes whole copies by rounding up or down, by the hash of the id, with the rate as the expected number; rows keep their columns.
+A rate becomes whole copies by rounding up or down, by the hash of the id and text, with the rate as the expected number; rows keep their
+columns. Rows that repeat an id, or have none, are rows of their own; those alike in id and text have the same copies.
 Null text counts as empty: 0 tokens, rate 1. Null labels aren't learned from; without labelled rows there is one domain, and rates are 1.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +86,10 @@ def learn(labelled: DataFrame, sample: int = 4000) -> Classifier:
 
 
 def memberships(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, tokens (words), p (posteriors) and the columns `keep`, as a struct if any, of every row of docs(doc_id, text)."""
+    """doc_id, tokens (words), p (posteriors), lot (0 to 1, by hash) and the columns `keep`, as a struct if any, of every row of docs(doc_id, text)."""
     kept = [F.struct(*keep).alias("kept")] if keep else []
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
+    lot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lot.alias("lot"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 22):
@@ -96,17 +100,21 @@ def memberships(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ())
             cols = [batch.column(0), pa.array(n, pa.int64()), flat, *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tokens", "p", *batch.schema.names[2:]])
 
-    return own.mapInArrow(run, _with("doc_id long, tokens long, p array<double>", own))
+    return own.mapInArrow(run, _with("doc_id long, tokens long, p array<double>, lot double", own))
 
 
 def _with(names: str, table: DataFrame) -> str:
     return f"{names}, kept {table.schema['kept'].dataType.simpleString()}" if "kept" in table.columns else names
 
 
-def rates_of(p: np.ndarray, tokens: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
-    r = np.ones(len(p))
-    for v in steps:
-        r = np.maximum(least, r - p @ v)
+Step = tuple[np.ndarray, float]  # the change of a rate is -p @ step; and how much of its last change it goes on with before
+
+
+def rates_of(p: np.ndarray, tokens: np.ndarray, steps: list[Step], least: float) -> np.ndarray:
+    r = old = np.ones(len(p))
+    for step, on in steps:
+        ahead = r + on * (r - old) if on else r
+        r, old = np.maximum(least, ahead - p @ step), r
     return np.where(tokens > 0, r, 1.0)
 
 
@@ -115,9 +123,10 @@ def _matrix(batch: pa.RecordBatch, wide: int) -> tuple[np.ndarray, np.ndarray]:
     return p, batch.column(batch.schema.get_field_index("tokens")).to_numpy(zero_copy_only=False)
 
 
-def solve(table: DataFrame, wide: int, targets, least: float = 0.0, rounds: int = 60, close: float = 1e-6) -> list[np.ndarray]:
-    """The steps that lead from rates of 1 to the least-squares rates; targets: the wanted totals from the present ones."""
-    steps: list[np.ndarray] = []
+def solve(table: DataFrame, wide: int, targets, least: float = 0.0, rounds: int = 400, close: float = 1e-6) -> list[Step]:
+    """The steps that lead from rates of 1 to the least-squares rates; targets: the wanted totals from the present ones. They end where no
+    total is off, or moves in a round, by more than the share `close` of all; without an end in `rounds`, an error."""
+    steps: list[Step] = []
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, gram = np.zeros(wide), np.zeros((wide, wide))
@@ -128,18 +137,26 @@ def solve(table: DataFrame, wide: int, targets, least: float = 0.0, rounds: int
                 gram += (p * n[:, None]).T @ p
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["total", "gram"])
 
-    inverse = want = None
+    inverse = want = before = None
+    loss, pace = math.inf, 1.0
     for _ in range(rounds):
         got = table.select("tokens", "p").mapInArrow(sums, "total array<double>, gram array<double>").collect()  # a row per partition
         total = np.sum([r.total for r in got], 0) if got else np.zeros(wide)
         if inverse is None:
             inverse = np.linalg.pinv(np.sum([r.gram for r in got], 0).reshape(wide, wide) if got else np.zeros((wide, wide)))
             want = np.asarray(targets(total), np.float64)
-        step = inverse @ (total - want)
-        if np.abs(total - want).max() <= close * max(1.0, float(np.abs(want).sum())) or np.abs(step).max() < close:
-            break
-        steps.append(step)
-    return steps
+        now = float((total - want) @ inverse @ (total - want))
+        if now > loss:
+            pace = 1.0  # it went too far ahead
+        least_move = close * max(1.0, float(np.abs(want).sum()))
+        if np.abs(total - want).max() <= least_move or (before is not None and np.abs(total - before).max() <= least_move * 1e-3):
+            return steps
+        after = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        on = (pace - 1) / after if before is not None else 0.0
+        ahead = total + on * (total - before) if on else total
+        steps.append((inverse @ (ahead - want), on))
+        before, loss, pace = total, now, after
+    raise RuntimeError(f"rates didn't settle in {rounds} rounds: totals {total.tolist()}, targets {want.tolist()}")
 
 
 def equal_targets(total: np.ndarray) -> np.ndarray:
@@ -170,6 +187,5 @@ def rates(docs: DataFrame, model: Classifier, targets=equal_targets, least: floa
             r = rates_of(p, n, steps, least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[top].tolist(), pa.string()), pa.array(p[np.arange(len(p)), top]), pa.array(r), *batch.columns[3:]], names=["doc_id", "tokens", "domain", "posterior", "rate", *batch.schema.names[3:]])
 
-    out = table.mapInArrow(run, _with(RATES.rpartition(",")[0], table))
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    return out.withColumn("copies", F.floor(F.col("rate") + lot).cast("long"))
+    out = table.mapInArrow(run, _with(RATES.rpartition(",")[0] + ", lot double", table))
+    return out.withColumn("copies", F.floor(F.col("rate") + F.col("lot")).cast("long")).drop("lot")
