@@ -8,10 +8,11 @@ length: the driver packs that histogram, a size that doesn't grow with the data.
   longest free partner that fits, which leaves the fewest sequences that two to a sequence can give.
 * Smaller pieces, longest first, go to the smallest gap that takes them, and to a new sequence where none does.
 
-The result is a plan of rank intervals by length. Pieces find their rank by (length, salt) cells, so that no length, however common, is
-ranked in one task, and look their interval up by binary search.
+The result is a plan of rank intervals by length. Pieces find their rank by (length, salt) cells, a length having a salt for every CELL of its
+pieces, so that no length, however common, is ranked in one task, and look their interval up by binary search.
 
-Null text counts as empty: one piece, the closing id alone. Repeated rows are packed each on its own; an empty table gives no rows.
+Null text counts as empty: one piece, the closing id alone. Rows that repeat, in id or text or both, and rows without an id are packed each
+on its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows, strings
 
-SALTS = 128
+CELL = 1 << 14
 
 
 @lru_cache(2)
@@ -164,23 +165,27 @@ def place(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return row[:, 3] + step // row[:, 4], row[:, 5] + step % row[:, 4] * length
 
 
-def packed(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+def packed(cut_pieces: DataFrame, capacity: int = 2048, cell: int = CELL) -> DataFrame:
     """The columns of cut_pieces (PIECES, stored) with sequence_id and offset."""
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("length", "salt").count().collect()  # capacity * SALTS rows at most
-    counts: dict[int, int] = defaultdict(int)
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in sorted(cells, key=lambda r: (r.length, r.salt)):
-        base[r.length, r.salt] = counts[r.length]
-        counts[r.length] += r["count"]
+    counts = {r.length: r["count"] for r in cut_pieces.groupBy("length").count().collect()}  # `capacity` rows at most
+    salts = [-(-counts.get(n, 1) // cell) for n in range(capacity + 1)]
+    of_length = F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1)
+    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), of_length).cast("int"))
+    first = np.r_[0, np.cumsum(salts)]  # the cell of each length's first salt
+    base = np.zeros(first[-1], np.int64)
+    for r in salted.where(of_length > 1).groupBy("length", "salt").count().collect():  # a row for every `cell` pieces, about
+        if r.salt + 1 < salts[r.length]:
+            base[first[r.length] + r.salt + 1] = r["count"]
+    for n in np.flatnonzero(np.array(salts) > 1):
+        base[first[n] : first[n + 1]] = np.cumsum(base[first[n] : first[n + 1]])
     table = intervals(pack(counts, capacity))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long") - 1)
     names = cut_pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-            sequence, offset = place(table, length, rank + base[length, salt])
+            sequence, offset = place(table, length, rank + base[first[length] + salt])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in cut_pieces.dtypes)
