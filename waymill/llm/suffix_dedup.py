@@ -511,20 +511,23 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT)
     return covers.groupBy("rid").agg(F.collect_list(F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"))).alias("covers"))
 
 
-def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
-    """The bytes left, how many went, and in how many runs."""
+def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, str | None, int, int]:
+    """The bytes left, the text left (None if nothing went; without the bytes of characters that were cut), how many bytes went, and in how
+    many runs."""
     c = np.zeros(len(lo), COVER)
     c["lo"], c["hi"] = lo, hi
     c = merged(c)
     edges = np.r_[0, np.stack([c["lo"], c["hi"]], 1).ravel(), len(raw)]
-    return b"".join(raw[i:j] for i, j in edges.reshape(-1, 2).tolist()), int((c["hi"] - c["lo"]).sum()), len(c)
+    left = [raw[i:j] for i, j in edges.reshape(-1, 2).tolist()]
+    return b"".join(left), "".join(x.decode("utf-8", "ignore") for x in left) if len(c) else None, int((c["hi"] - c["lo"]).sum()), len(c)
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans and the columns `keep` for every row of docs(doc_id, text)."""
+    """doc_id, kept (the bytes left), cut_text (what is left as text, null if nothing went), n_bytes, n_removed, n_spans and the columns `keep`
+    for every row of docs(doc_id, text). The names of the results can't be among `keep`, which is an error."""
     if not GRAM <= size <= 255:
         raise ValueError(f"size is from {GRAM} to 255 bytes")
-    if taken := {"doc_id", "kept", "n_bytes", "n_removed", "n_spans"}.intersection(keep):
+    if taken := {"doc_id", "kept", "cut_text", "n_bytes", "n_removed", "n_spans"}.intersection(keep):
         raise ValueError(f"names of results: {sorted(taken)}")
     numbered = ordered(docs, keep)
     covers = repeats(numbered.select("rid", "raw"), size)
@@ -538,11 +541,11 @@ def without_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = (
                 c = covers.values
                 lo, hi = (c.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi")) if c is not None else (np.zeros(0, np.int64),) * 2
                 out.append((*cut(raw, lo, hi), len(raw)))
-            kept, removed, spans, n = zip(*out, strict=True) if out else ([],) * 4
-            fresh = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, removed, spans))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *fresh], names=[*names, "left", "n_bytes", "n_removed", "n_spans"])
+            kept, text, removed, spans, n = zip(*out, strict=True) if out else ([],) * 5
+            fresh = [pa.array(kept, pa.binary()), pa.array(text, pa.string()), *(pa.array(x, pa.int64()) for x in (n, removed, spans))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *fresh], names=[*names, "left", "cut_text", "n_bytes", "n_removed", "n_spans"])
 
     joined = numbered.join(covers, "rid", "left")
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", left binary, n_bytes long, n_removed long, n_spans long"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", left binary, cut_text string, n_bytes long, n_removed long, n_spans long"
     out = joined.select(*names, "raw", "covers").mapInArrow(run, schema)
-    return out.select("doc_id", F.col("left").alias("kept"), "n_bytes", "n_removed", "n_spans", *(F.col("kept")[c].alias(c) for c in keep))
+    return out.select("doc_id", F.col("left").alias("kept"), "cut_text", "n_bytes", "n_removed", "n_spans", *(F.col("kept")[c].alias(c) for c in keep))
