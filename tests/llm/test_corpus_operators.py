@@ -243,7 +243,8 @@ def test_common_passages_in_either_way(spark, hot):
     got = {r.rid: r.covers for r in suffix_dedup.repeats(own, hot=hot).collect()}
     for i, (kept, removed, spans) in enumerate(slow_repeats([t.encode() for t in texts], 100)):
         c = np.array([(x.lo, x.hi) for x in got.get(i, [])]).reshape(-1, 2)
-        assert suffix_dedup.cut(texts[i].encode(), c[:, 0], c[:, 1]) == (kept, removed, spans)
+        left, _, *counts = suffix_dedup.cut(texts[i].encode(), c[:, 0], c[:, 1])
+        assert (left, *counts) == (kept, removed, spans)
 
 
 def test_long_texts_in_pieces(monkeypatch):
@@ -310,3 +311,53 @@ def test_domains_are_learned_and_all_rows_get_a_rate(spark, docs, none):
     assert all(r.rate == 1.0 for r in out if r.tokens == 0)
     assert source_mix.rates(none, model).count() == 0
     assert {r.rate for r in source_mix.rates(docs, source_mix.learn(none.selectExpr("doc_id", "text", "lang domain"))).collect()} == {1.0}
+
+
+def test_rounds_without_an_end_are_an_error(spark):
+    table = spark.createDataFrame([(1, 10, [0.5, 0.5]), (2, 20, [0.9, 0.1])], "doc_id long, tokens long, p array<double>")
+    with pytest.raises(RuntimeError, match="settle"):
+        source_mix.solve(table, 2, lambda t: np.array([50.0, 0.0]), rounds=2)
+
+
+def test_copies_of_rows_without_an_id_differ_by_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(200)], "doc_id long, text string")
+    model = source_mix.Classifier(["a"])
+    out = source_mix.rates(docs, model, lambda t: t * 1.5).collect()
+    assert {r.copies for r in out} == {1, 2} and all(r.rate == pytest.approx(1.5) for r in out)
+    assert 250 < sum(r.copies for r in out) < 350
+
+
+def test_cut_characters_go_and_replacement_characters_stay():
+    raw = "a\ufffdb é漢 c\ufffd".encode()
+    at = raw.index("漢".encode())
+    kept, text, removed, spans = suffix_dedup.cut(raw, np.array([at + 1]), np.array([at + 2]))
+    assert (text, removed, spans, len(kept)) == ("a\ufffdb é c\ufffd", 1, 1, len(raw) - 1)
+
+
+def test_names_and_sizes_that_cannot_be_are_errors(docs):
+    kept = suffix_dedup.without_repeats(docs.drop("kept"), keep=("raw", "rid", "score", "block"))
+    assert kept.columns == ["doc_id", "kept", "cut_text", "n_bytes", "n_removed", "n_spans", "raw", "rid", "score", "block"]
+    assert {(r.raw, r.rid, r.score) for r in kept.collect()} == {("x", 1, 0.5)}
+    for bad in ({"keep": ("kept",)}, {"size": 256}, {"size": 10}):
+        with pytest.raises(ValueError, match="names|size"):
+            suffix_dedup.without_repeats(docs, **bad)
+
+
+def test_anchors_of_a_bucket_in_lots():
+    """Lots of whole anchors, and an anchor over a shard's size in shards that are merged."""
+    rng = np.random.default_rng(5)
+    heads, parts, want = [], [], {}
+    for i in range(60):
+        body = bytes(rng.integers(97, 99, 14, dtype=np.uint8))
+        heads.append((i % 4, i, 1000, len(body)))
+        parts.append(body)
+        for k in range(len(body) - 3):
+            want.setdefault((i % 4, body[k : k + 4]), []).append((i, 1000 + k))
+    blob = lambda h, p: len(h).to_bytes(8, "little") + np.array(h, "<i8").tobytes() + b"".join(p)
+    blobs = [blob(heads[:20], parts[:20]), blob(heads[20:], parts[20:])]
+    for shard in (20, 100, 1 << 18):
+        got = {(int(c["rid"]), k) for covers in suffix_dedup.compared_by_anchor(blobs, 4, shard) for c in covers for k in range(c["lo"], c["hi"])}
+        repeats = {(i, p + k) for places in want.values() for i, p in sorted(places)[1:] for k in range(4)}
+        assert got >= repeats
+        if shard < 1 << 18:  # more anchors in a shard only find more that repeats
+            assert len(got) <= sum(map(len, parts))
