@@ -125,7 +125,7 @@ def _matrix(batch: pa.RecordBatch, wide: int) -> tuple[np.ndarray, np.ndarray]:
 
 def solve(table: DataFrame, wide: int, targets, least: float = 0.0, rounds: int = 400, close: float = 1e-6) -> list[Step]:
     """The steps that lead from rates of 1 to the least-squares rates; targets: the wanted totals from the present ones. They end where no
-    total is off, or moves in a round, by more than the share `close` of all; without an end in `rounds`, an error."""
+    total is off by more than the share `close` of all, or moves by more in three rounds; without an end in `rounds`, an error."""
     steps: list[Step] = []
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def solve(table: DataFrame, wide: int, targets, least: float = 0.0, rounds: int
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["total", "gram"])
 
     inverse = want = before = None
-    loss, pace = math.inf, 1.0
+    loss, pace, calm = math.inf, 1.0, 0
     for _ in range(rounds):
         got = table.select("tokens", "p").mapInArrow(sums, "total array<double>, gram array<double>").collect()  # a row per partition
         total = np.sum([r.total for r in got], 0) if got else np.zeros(wide)
@@ -149,7 +149,8 @@ def solve(table: DataFrame, wide: int, targets, least: float = 0.0, rounds: int
         if now > loss:
             pace = 1.0  # it went too far ahead
         least_move = close * max(1.0, float(np.abs(want).sum()))
-        if np.abs(total - want).max() <= least_move or (before is not None and np.abs(total - before).max() <= least_move * 1e-3):
+        calm = calm + 1 if before is not None and np.abs(total - before).max() <= least_move else 0
+        if np.abs(total - want).max() <= least_move or calm == 3:
             return steps
         after = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         on = (pace - 1) / after if before is not None else 0.0
@@ -164,10 +165,11 @@ def equal_targets(total: np.ndarray) -> np.ndarray:
     return np.full(len(total), total.sum() / len(total))
 
 
-def flattened_targets(total: np.ndarray, power: float = 0.7) -> np.ndarray:
-    """Shares in proportion to a power of the present ones, with as many tokens as keep the largest domain as it is."""
+def flattened_targets(total: np.ndarray, power: float = 0.7, growth: float = 1.05) -> np.ndarray:
+    """Shares in proportion to a power of the present ones, with as many tokens as let the largest domain grow by `growth`: documents of
+    other domains count a little toward it, so it can't stay as it is while they are repeated."""
     top = max(float(total.max()), 1.0)
-    return top * (np.maximum(total, 0) / top) ** power
+    return growth * top * (np.maximum(total, 0) / top) ** power
 
 
 RATES = "doc_id long, tokens long, domain string, posterior double, rate double, copies long"
