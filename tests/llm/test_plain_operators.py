@@ -262,7 +262,7 @@ def test_pack_against_all_ways():
 
 def test_common_lengths_have_many_cells(repeated):
     pieces = materialize(best_fit_pack.cut(repeated, *PACK, capacity=64), "pieces")
-    places = [sorted((r.sequence_id, r.offset, r.length) for r in best_fit_pack.packed(pieces, 64, cell).collect()) for cell in (3, 50, 1 << 14)]
+    places = [sorted((r.sequence_id, r.offset, r.length) for r in best_fit_pack.packed(pieces, 64, least=least).collect()) for least in (3, 50, 1 << 14)]
     assert places[0] == places[1] == places[2] and len({p[:2] for p in places[0]}) == pieces.count()
 
 

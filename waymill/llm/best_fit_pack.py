@@ -8,8 +8,8 @@ length: the driver packs that histogram, a size that doesn't grow with the data.
   longest free partner that fits, which leaves the fewest sequences that two to a sequence can give.
 * Smaller pieces, longest first, go to the smallest gap that takes them, and to a new sequence where none does.
 
-The result is a plan of rank intervals by length. Pieces find their rank by (length, salt) cells, a length having a salt for every CELL of its
-pieces, so that no length, however common, is ranked in one task, and look their interval up by binary search.
+The result is a plan of rank intervals by length. Pieces find their rank by (length, salt) cells, a length having as many salts as its share
+of CELLS, so that no length, however common, is ranked in one task, and look their interval up by binary search.
 
 Null text counts as empty: one piece, the closing id alone. Rows that repeat, in id or text or both, and rows without an id are packed each
 on its own; an empty table gives no rows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows, strings
 
-CELL = 1 << 14
+CELLS = 1 << 16
 
 
 @lru_cache(2)
@@ -165,15 +165,16 @@ def place(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return row[:, 3] + step // row[:, 4], row[:, 5] + step % row[:, 4] * length
 
 
-def packed(cut_pieces: DataFrame, capacity: int = 2048, cell: int = CELL) -> DataFrame:
+def packed(cut_pieces: DataFrame, capacity: int = 2048, cells: int = CELLS, least: int = 512) -> DataFrame:
     """The columns of cut_pieces (PIECES, stored) with sequence_id and offset."""
     counts = {r.length: r["count"] for r in cut_pieces.groupBy("length").count().collect()}  # `capacity` rows at most
+    cell = max(least, sum(counts.values()) // cells)
     salts = [-(-counts.get(n, 1) // cell) for n in range(capacity + 1)]
     of_length = F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1)
     salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), of_length).cast("int"))
     first = np.r_[0, np.cumsum(salts)]  # the cell of each length's first salt
     base = np.zeros(first[-1], np.int64)
-    for r in salted.where(of_length > 1).groupBy("length", "salt").count().collect():  # a row for every `cell` pieces, about
+    for r in salted.where(of_length > 1).groupBy("length", "salt").count().collect():  # `cells` and `capacity` rows at most
         if r.salt + 1 < salts[r.length]:
             base[first[r.length] + r.salt + 1] = r["count"]
     for n in np.flatnonzero(np.array(salts) > 1):
