@@ -98,12 +98,56 @@ def test_fusion_leaves_out_points_without_a_place_and_meets_the_track(spark, poi
 
 
 def slow_nearest(ts, right, tol, later):
-    best = None
-    for i, t in enumerate(right):
-        d = abs(t - ts)
-        if best is None or d < best[0] or (d == best[0] and later):
-            best = (d, i)
-    return best[1] if best and best[0] <= tol else None
+    """A cursor through the rows in order: on the last row at or before, then to the next one if that is nearer; later: as long as no farther."""
+    at = 0
+    if later:
+        for i in range(1, len(right)):
+            if abs(right[i] - ts) <= abs(right[at] - ts):
+                at = i
+    else:
+        while at + 1 < len(right) and right[at + 1] <= ts:
+            at += 1
+        if at + 1 < len(right) and abs(right[at + 1] - ts) < abs(right[at] - ts):
+            at += 1
+    return at if abs(right[at] - ts) <= tol else None
+
+
+def test_matched_observations_by_a_cursor(spark):
+    """Repeated times, missing quality and missing places, against the rows gone through in order."""
+    rng = np.random.default_rng(4)
+    track = [(int(t), x if rng.random() > 0.15 else None, 1.0, rng.choice([0.2, 0.9, None]), bool(rng.random() > 0.3)) for t, x in zip(np.sort(rng.integers(0, 60, 45)) * 100, rng.uniform(0, 9, 45).tolist(), strict=True)]
+    track = [(t, x, y, None if q is None else float(q), ok) for t, x, y, q, ok in track]
+    times = rng.integers(-15, 75, 120) * 100
+    left = spark.createDataFrame([(1, i, int(t)) for i, t in enumerate(times)], "traj_id long, seq long, ts_ms long")
+    right = spark.createDataFrame([(1, i, *r, 5.0) for i, r in enumerate(track)], "traj_id long, seq long, ts_ms long, x double, y double, quality_score double, trusted boolean, h double").repartition(4)
+    got = {r.seq: (r.o_x, r.o_quality, r.o_trusted) for r in asof.matched(left, right).collect()}
+    quality = lambda q: 1.0 if q is None else q
+    for i, ts in enumerate(times.tolist()):
+        at = slow_nearest(ts, [r[0] for r in track], 1000, False)
+        cursor = max([k for k, r in enumerate(track) if r[0] <= ts], default=0)
+        want = (None, None, None)
+        if at is not None:
+            a, b = track[cursor], track[cursor + 1] if cursor + 1 < len(track) else None
+            if b and a[0] <= ts <= b[0] and b[0] > a[0] and a[1] is not None and b[1] is not None:
+                share = (ts - a[0]) / (b[0] - a[0])
+                want = (a[1] + (b[1] - a[1]) * share, quality(a[3]) + (quality(b[3]) - quality(a[3])) * share, a[4] and b[4])
+            elif track[at][1] is not None:
+                want = (track[at][1], quality(track[at][3]), track[at][4])
+        assert got[i] == (want if want[0] is None else (pytest.approx(want[0]), pytest.approx(want[1]), want[2])), (i, ts)
+
+
+def test_missing_values_stay_missing(spark):
+    rows = spark.createDataFrame([(None,), (-1.0,), (0.5,), (9.0,)], "v double").select(geo.clamp(F.col("v"), 0.05, 1.0).alias("v")).collect()
+    assert [r.v for r in rows] == [None, 0.05, 0.5, 1.0]
+
+
+def test_only_wanted_ways_are_searched(spark):
+    segs = grid(spark)
+    e = roads.edges(segs, roads.merged_nodes(segs))
+    whole = {(r.src, r.dst): r.d for r in roads.shortest_paths(e, e.select("src")).collect()}
+    some = sorted(whole)[::7]
+    found = roads.wanted_paths(e, spark.createDataFrame([*some, (some[0][0], -5)], "src long, dst long")).collect()
+    assert {(r.src, r.dst): r.d for r in found} == {k: pytest.approx(whole[k]) for k in some} and len(found) == len(some)
 
 
 @pytest.mark.parametrize("tie", ["earlier", "later"])

@@ -21,7 +21,8 @@ def is_finite(c: Column | str) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """c within low and high; null stays null."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def gps_time_ms(week: Column | str, second: Column | str) -> Column:

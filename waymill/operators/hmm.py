@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, quality
 from ..functions.constants import Hmm
 from .observations import chains, ordered
-from .roads import edges, grid_join, merged_nodes, shortest_paths
+from .roads import edges, grid_join, merged_nodes, wanted_paths
 
 
 def candidates(points: DataFrame, segs: DataFrame, o: Hmm = Hmm()) -> DataFrame:
@@ -59,13 +59,32 @@ def candidate_pairs(cands: DataFrame, stepped: DataFrame, segs: DataFrame, nodes
     return cur.join(prev, ["traj_id", "before"])
 
 
+ENDS = tuple((f"{p}{c}", p, c) for p in "uv" for c in "uv")
+
+
+def segment_pairs(pairs: DataFrame) -> DataFrame:
+    """The different pairs of segments that candidate_pairs go between, with the nodes of both: far fewer than pairs of candidates."""
+    return pairs.where("seg_id <> p_seg_id").select("p_seg_id", "seg_id", "p_u", "p_v", "u", "v").distinct()
+
+
+def wanted_ends(between: DataFrame) -> DataFrame:
+    """src, dst of all ways between the ends of segment_pairs."""
+    ways = F.array(*(F.struct(F.col(f"p_{p}").alias("src"), F.col(c).alias("dst")) for _, p, c in ENDS))
+    return between.select(F.explode(ways).alias("w")).select("w.*").distinct()
+
+
 def route_distances(pairs: DataFrame, distances: DataFrame) -> DataFrame:
-    """pairs with route: along the segment if it is one, else the least way over an end of each; null if there is none."""
-    key = ["traj_id", "seq", "p_cand", "cand"]
-    ways = F.array(*(F.struct(F.col(f"p_{a}").alias("src"), F.col(b).alias("dst"), (leave + enter).alias("own")) for a, leave in (("u", F.col("p_s")), ("v", F.col("p_len") - F.col("p_s"))) for b, enter in (("u", F.col("s")), ("v", F.col("len") - F.col("s")))))
-    over = pairs.where("seg_id <> p_seg_id").select(*key, F.explode(ways).alias("w")).select(*key, "w.src", "w.dst", "w.own")
-    least = over.join(distances, ["src", "dst"]).groupBy(*key).agg(F.min(F.col("own") + F.col("d")).alias("over"))
-    return pairs.join(least, key, "left").withColumn("route", F.when(F.col("seg_id") == F.col("p_seg_id"), F.abs(F.col("s") - F.col("p_s"))).otherwise(F.col("over"))).drop("over")
+    """pairs with route: along the segment if it is one, else the least way over an end of each; null if there is none. Node distances are put
+    together for pairs of segments first, so that candidates meet one row."""
+    between = segment_pairs(pairs)
+    ways = F.array(*(F.struct(F.lit(name).alias("way"), F.col(f"p_{p}").alias("src"), F.col(c).alias("dst")) for name, p, c in ENDS))
+    long = between.select("p_seg_id", "seg_id", F.explode(ways).alias("w")).select("p_seg_id", "seg_id", "w.*").join(distances, ["src", "dst"])
+    known = long.groupBy("p_seg_id", "seg_id").agg(*(F.min(F.when(F.col("way") == name, F.col("d"))).alias(f"_{name}") for name, _, _ in ENDS))
+    leave = {"u": F.col("p_s"), "v": F.col("p_len") - F.col("p_s")}
+    enter = {"u": F.col("s"), "v": F.col("len") - F.col("s")}
+    over = F.least(*(leave[p] + enter[c] + F.col(f"_{name}") for name, p, c in ENDS))
+    out = pairs.join(known, ["p_seg_id", "seg_id"], "left")
+    return out.withColumn("route", F.when(F.col("seg_id") == F.col("p_seg_id"), F.abs(F.col("s") - F.col("p_s"))).otherwise(over)).drop(*(f"_{name}" for name, _, _ in ENDS))
 
 
 def transition_costs(routes: DataFrame, o: Hmm = Hmm()) -> DataFrame:
@@ -116,8 +135,7 @@ def match(points: DataFrame, segs: DataFrame, speed_detection: bool = False, o:
     stepped = observation_steps(points, o)
     emitted = emissions(points, cands, speed_detection, o)
     pairs = candidate_pairs(emitted, stepped, segs, nodes)
-    touched = cands.select("seg_id").distinct().join(nodes, "seg_id").select(F.explode(F.array("u", "v")).alias("src")).distinct()
-    distances = shortest_paths(edges(segs, nodes), touched, route_most)
+    distances = wanted_paths(edges(segs, nodes), wanted_ends(segment_pairs(pairs)), route_most)
     costs = transition_costs(route_distances(pairs, distances), o)
     chosen = viterbi(emitted, stepped, costs)
     out = points.join(chosen, ["traj_id", "seq"], "left").join(emitted.select("traj_id", "seq", "cand", "seg_id", F.col("cx").alias("mx"), F.col("cy").alias("my"), "obs_dist", "emit_cost", "emit_sigma"), ["traj_id", "seq", "cand"], "left")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,15 +193,19 @@ class Graph:
         self.dst, self.w = dst[by], w[by]
         self.at = {int(n): i for i, n in enumerate(self.nodes)}
 
-    def distances(self, source: int, most: float = math.inf) -> dict[int, float]:
-        """Least distance to each node within most."""
+    def distances(self, source: int, most: float = math.inf, wanted: set[int] | None = None) -> dict[int, float]:
+        """Least distance to each node within most; the search ends where it has all that are wanted."""
         done: dict[int, float] = {}
-        heap = [(0.0, source)]
+        heap, left = [(0.0, source)], None if wanted is None else set(wanted)
         while heap:
             d, n = heapq.heappop(heap)
             if n in done:
                 continue
             done[n] = d
+            if left is not None:
+                left.discard(n)
+                if not left:
+                    break
             if (i := self.at.get(n)) is not None:
                 for m, w in zip(self.dst[self.start[i] : self.end[i]].tolist(), self.w[self.start[i] : self.end[i]].tolist(), strict=True):
                     if m not in done and d + w <= most:
@@ -216,10 +221,30 @@ def checked(df: DataFrame, most: int = MOST_SEGMENTS) -> pd.DataFrame:
     return rows
 
 
-def shortest_paths(edge_table: DataFrame, sources: DataFrame, most: float = math.inf) -> DataFrame:
-    """src, dst, d from every source(src) to what it reaches within most: one search a source, spread over tasks, on a graph of checked size."""
+def _sent(edge_table: DataFrame) -> Broadcast[Graph]:
     e = checked(edge_table)
-    graph = edge_table.sparkSession.sparkContext.broadcast(Graph(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["w"].to_numpy(float)))
+    return edge_table.sparkSession.sparkContext.broadcast(Graph(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["w"].to_numpy(float)))
+
+
+def wanted_paths(edge_table: DataFrame, pairs: DataFrame, most: float = math.inf) -> DataFrame:
+    """src, dst, d of those pairs(src, dst) that a way of at most `most` joins: one search a source, which ends with its last wanted node."""
+    graph = _sent(edge_table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s, wanted in zip(pdf["src"].tolist(), pdf["wanted"].tolist(), strict=True):
+                d = graph.value.distances(s, most, set(wanted))
+                out += [(s, n, d[n]) for n in wanted if n in d]
+            yield pd.DataFrame(out, columns=["src", "dst", "d"])
+
+    return pairs.groupBy("src").agg(F.collect_set("dst").alias("wanted")).mapInPandas(run, "src long, dst long, d double")
+
+
+def shortest_paths(edge_table: DataFrame, sources: DataFrame, most: float = math.inf) -> DataFrame:
+    """src, dst, d from every source(src) to what it reaches within most: one search a source, spread over tasks, on a graph of checked size. The
+    result has all pairs; wanted_paths has only those asked for."""
+    graph = _sent(edge_table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -60,7 +60,8 @@ def detect(points: DataFrame, mode: int = 2, o: SpeedDetection = SpeedDetection(
 
 def evaluation_rows(points: DataFrame, truth: DataFrame, o: SpeedDetection = SpeedDetection()) -> DataFrame:
     """traj_id, seq, ts_ms, error_m, truth_abnormal, sd_abnormal of every point with a truth row in reach."""
-    joined = nearest(points, truth.select("traj_id", "ts_ms", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), ("t_lat", "t_lon"), o.tolerance_ms, tie="later")
+    order = [c for c in ("seq",) if c in truth.columns]  # of truth rows with one time the later counts
+    joined = nearest(points, truth.select("traj_id", *order, "ts_ms", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), ("t_lat", "t_lon"), o.tolerance_ms, tie="later")
     ok = F.col("m_ts").isNotNull() & geo.is_finite("t_lat") & geo.is_finite("t_lon") & geo.is_finite("lat") & geo.is_finite("lon")
     error = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
     out = joined.where(ok).withColumn("error_m", error)

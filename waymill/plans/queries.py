@@ -259,7 +259,7 @@ def _routes(spark, sf_dir) -> DataFrame:
     e = roads.edges(net, nodes)
     emitted = hmm.emissions(p, hmm.candidates(p, net), True)
     pairs = hmm.candidate_pairs(emitted, hmm.observation_steps(p), net, nodes)
-    return hmm.route_distances(pairs, roads.shortest_paths(e, e.select("src")))
+    return hmm.route_distances(pairs, roads.wanted_paths(e, hmm.wanted_ends(hmm.segment_pairs(pairs))))
 
 
 @query
