@@ -9,15 +9,18 @@ R = 6378137.0
 K = "CAST(floor(event_id / 500e0) AS BIGINT) traj_id, event_id % 500 seq"
 
 OBS = f"""obs AS (SELECT {K}, 1678330000000 + event_id * 1000 ts_ms, 30e0 + (event_id % 7) * 0.5e0 * 0.9e-5 lat,
- 120e0 + (10e0 * (event_id % 500) + value / 10e0) * 1.04e-5 lon, 10e0 + event_id % 5 h, 10e0 vel_e, 0e0 vel_n,
+ 120e0 + (10e0 * (event_id % 500) + value / 10e0) * 1.04e-5 lon, 10e0 + event_id % 5 h, CASE WHEN event_id % 37 <> 0 THEN 10e0 END vel_e, (event_id % 3 - 1) * 0.2e0 vel_n,
  CASE WHEN event_id % 11 <> 0 THEN 10e0 + (event_id % 3) * 0.1e0 END pha_e, 0e0 pha_n,
  CASE WHEN event_id % 4 = 0 THEN 0.3e0 ELSE 1e0 END quality_score, event_id % 6 <> 0 trusted
  FROM events WHERE NOT (event_id % 500 BETWEEN 100 AND 109) AND NOT (event_id % 500 BETWEEN 300 AND 306))"""
 PTS = OBS + f""", pts AS (SELECT *, {R}e0 * radians(lon - 120e0) * cos(radians(30e0)) x, {R}e0 * radians(lat - 30e0) y FROM obs)"""
 TRUTH = f"""truth AS (SELECT {K}, 1678330000000 + event_id * 1000 + (event_id % 3 - 1) * 700 ts_ms, 30e0 + (event_id % 7) * 0.5e0 * 0.9e-5 lat,
  120e0 + (10e0 * (event_id % 500) + (event_id % 5) * 0.3e0) * 1.04e-5 lon FROM events WHERE event_id % 13 <> 0)"""
-TRACK = f"""track AS (SELECT {K}, 1678330000000 + event_id * 1000 + (event_id % 4) * 200 ts_ms, 10e0 * (event_id % 500) + (event_id % 4) * 2e0 x, 0e0 y,
- 0.5e0 + (event_id % 5) * 0.1e0 quality_score, event_id % 9 <> 0 trusted FROM events WHERE event_id % 10 <> 0)"""
+TRACK = f"""track AS (SELECT {K}, 1678330000000 + event_id * 1000 + CASE WHEN event_id % 29 = 0 THEN 1000 ELSE event_id % 4 * 200 END ts_ms,
+ CASE WHEN event_id % 23 <> 0 THEN 10e0 * (event_id % 500) + (event_id % 4) * 2e0 END x, 0e0 y,
+ CASE WHEN event_id % 17 <> 0 THEN 0.5e0 + (event_id % 5) * 0.1e0 END quality_score, event_id % 9 <> 0 trusted FROM events WHERE event_id % 10 <> 0),
+ track_last AS (SELECT * FROM track QUALIFY row_number() OVER (PARTITION BY traj_id, ts_ms ORDER BY seq DESC) = 1),
+ track_first AS (SELECT * FROM track QUALIFY row_number() OVER (PARTITION BY traj_id, ts_ms ORDER BY seq) = 1)"""
 LAG = "(PARTITION BY traj_id ORDER BY seq)"
 VERT = """verts AS (SELECT road_id, k, 30e0 + yy * 0.9e-5 lat, 120e0 + xx * 1.04e-5 lon FROM (
  SELECT i road_id, k, -50e0 + 50e0 * k xx, 20e0 * (i - 1) yy FROM range(0, 3) a(i), range(0, 103) b(k)
@@ -117,8 +120,9 @@ def asof(right: str, left: str, cols: tuple[str, ...], tolerance: int, later: bo
     """The nearest row on either side by two as-of joins."""
     pick = "CASE WHEN s_ts IS NOT NULL AND (p_ts IS NULL OR s_ts - ts_ms {} ts_ms - p_ts) THEN s_{{0}} ELSE p_{{0}} END".format("<=" if later else "<")
     side = lambda a: ", ".join(f"{a}.{c} {a}_{c}" for c in cols)
-    return f"""both_ AS (SELECT l.*, p.ts_ms p_ts, {side('p')}, s.ts_ms s_ts, {side('s')} FROM {left} l ASOF LEFT JOIN {right} p ON l.traj_id = p.traj_id AND l.ts_ms >= p.ts_ms
- ASOF LEFT JOIN {right} s ON l.traj_id = s.traj_id AND l.ts_ms < s.ts_ms),
+    before, after = (right, right) if later else (f"{right}_last", f"{right}_first")
+    return f"""both_ AS (SELECT l.*, p.ts_ms p_ts, {side('p')}, s.ts_ms s_ts, {side('s')} FROM {left} l ASOF LEFT JOIN {before} p ON l.traj_id = p.traj_id AND l.ts_ms >= p.ts_ms
+ ASOF LEFT JOIN {after} s ON l.traj_id = s.traj_id AND l.ts_ms < s.ts_ms),
  best_ AS (SELECT *, {pick.format('ts')} b_ts, {', '.join(f'{pick.format(c)} b_{c}' for c in cols)} FROM both_),
  got AS (SELECT *, abs(b_ts - ts_ms) <= {tolerance} ok FROM best_)"""
 
@@ -133,12 +137,51 @@ q(
     sql=f"SELECT n, tp, fp, fn, tn, {r('rmse_m')} rmse_m, {r('max_m')} max_m, {r('recall', 6)} recall, {r('prec', 6)} \"precision\", {r('CASE WHEN prec + recall > 0 THEN 2 * prec * recall / (prec + recall) ELSE 0e0 END', 6)} f1, {r('share', 6)} abnormal_share FROM d",
 )
 q("matched_asof_nearest", OBS, TRACK, asof("track", "obs", ("x", "quality_score"), 1000, False), sql=f"SELECT traj_id, seq, CASE WHEN ok THEN b_ts END m_ts, CASE WHEN ok THEN {r('b_x')} END x, CASE WHEN ok THEN {r('b_quality_score')} END quality_score FROM got")
-_MID = "p_{0} + (s_{0} - p_{0}) * ((ts_ms - p_ts) / (s_ts - p_ts)::DOUBLE)"
-q(
-    "matched_asof_interpolate", OBS, TRACK, asof("track", "obs", ("x", "y", "quality_score", "trusted"), 1000, False),
-    "k AS (SELECT *, p_ts IS NOT NULL AND s_ts IS NOT NULL between_ FROM got)",
-    sql="SELECT traj_id, seq, CASE WHEN ok THEN b_ts END m_ts, " + ", ".join(f"CASE WHEN ok THEN {r(f'CASE WHEN between_ THEN {_MID.format(c)} ELSE b_{c} END')} END {n}" for c, n in (("x", "o_x"), ("y", "o_y"), ("quality_score", "o_quality"))) + f", CASE WHEN ok THEN CASE WHEN between_ THEN p_trusted AND s_trusted ELSE b_trusted END END o_trusted, CASE WHEN ok THEN {r('b_quality_score')} END n_quality FROM k",
-)
+_MID = "{1} + ({2} - {1}) * ((ts_ms - p_ts) / (s_ts - p_ts)::DOUBLE)"
+MATCHED = asof("track", "{left}", ("x", "y", "quality_score", "trusted"), 1000, False) + f""",
+ ways_ AS (SELECT *, ok AND p_ts IS NOT NULL AND s_ts IS NOT NULL AND p_x IS NOT NULL AND s_x IS NOT NULL between_, ok AND b_x IS NOT NULL alone_ FROM got),
+ joined AS (SELECT *, CASE WHEN ok THEN b_ts END m_ts, CASE WHEN ok THEN b_quality_score END n_quality,
+ CASE WHEN between_ THEN {_MID.format("x", "p_x", "s_x")} WHEN alone_ THEN b_x END o_x, CASE WHEN between_ THEN {_MID.format("y", "p_y", "s_y")} WHEN alone_ THEN b_y END o_y,
+ CASE WHEN between_ THEN {_MID.format("q", "coalesce(p_quality_score, 1e0)", "coalesce(s_quality_score, 1e0)")} WHEN alone_ THEN coalesce(b_quality_score, 1e0) END o_quality,
+ CASE WHEN between_ THEN p_trusted AND s_trusted WHEN alone_ THEN b_trusted END o_trusted FROM ways_)"""
+q("matched_asof_interpolate", OBS, TRACK, MATCHED.format(left="obs"), sql=f"SELECT traj_id, seq, m_ts, {r('o_x')} o_x, {r('o_y')} o_y, {r('o_quality')} o_quality, o_trusted, {r('n_quality')} n_quality FROM joined")
+
+
+def kalman(left: str) -> str:
+    """The filter over `joined`, a row a round. Both axes have one covariance (a, b; b, c), as they start alike and are measured alike."""
+    scale = "1e0 / pow(greatest(0.2e0, least(1e0, coalesce({}, 1e0))), 2) * CASE WHEN coalesce({}, TRUE) THEN 1e0 ELSE 4e0 END"
+    ready = f"""ready AS (SELECT *, row_number() OVER {LAG} rn, {scale.format("quality_score", "trusted")} gs, {scale.format("o_quality", "o_trusted")} rs, vel_e IS NOT NULL AND vel_n IS NOT NULL moves,
+ CASE WHEN (ts_ms - lag(ts_ms) OVER {LAG}) / 1000e0 > 0 AND (ts_ms - lag(ts_ms) OVER {LAG}) / 1000e0 <= 10 THEN greatest(0.001e0, (ts_ms - lag(ts_ms) OVER {LAG}) / 1000e0) ELSE 1e0 END gap FROM joined)"""
+    state = ("px", "vx", "py", "vy", "a", "b", "c")
+    own = "traj_id, seq, rn, x, y, vel_e, vel_n, gs, rs, moves, o_x, o_y"
+
+    def step(source: str, changes: dict[str, str]) -> str:
+        return f"SELECT {own}, {', '.join(f'{changes.get(c, c)} {c}' for c in state)} FROM ({source})"
+
+    def place(source: str, zx: str, zy: str, noise: str, when: str) -> str:
+        k, g = f"(a / (a + {noise}))", f"(b / (a + {noise}))"
+        new = {"px": f"px + {k} * ({zx} - px)", "vx": f"vx + {g} * ({zx} - px)", "py": f"py + {k} * ({zy} - py)", "vy": f"vy + {g} * ({zy} - py)", "c": f"c - {g} * b", "b": f"b * (1 - {k})", "a": f"a * (1 - {k})"}
+        return step(source, {n: f"CASE WHEN {when} THEN {e} ELSE {n} END" for n, e in new.items()})
+
+    def speed(source: str) -> str:
+        k, g = "(b / (c + 2.25e0 * gs))", "(c / (c + 2.25e0 * gs))"
+        new = {"px": f"px + {k} * (vel_e - vx)", "vx": f"vx + {g} * (vel_e - vx)", "py": f"py + {k} * (vel_n - vy)", "vy": f"vy + {g} * (vel_n - vy)", "a": f"a - {k} * b", "b": f"b * (1 - {g})", "c": f"c * (1 - {g})"}
+        return step(source, {n: f"CASE WHEN moves THEN {e} ELSE {n} END" for n, e in new.items()})
+
+    def measured(source: str) -> str:
+        return place(speed(place(source, "x", "y", "36e0 * gs", "TRUE")), "o_x", "o_y", "0.25e0 * rs", "o_x IS NOT NULL")
+
+    names = ", ".join(f"r.{c}" for c in own.split(", "))
+    start = f"SELECT {own}, x px, CASE WHEN moves THEN vel_e ELSE 0e0 END vx, y py, CASE WHEN moves THEN vel_n ELSE 0e0 END vy, 64e0 a, 0e0 b, 9e0 c FROM ready WHERE rn = 1"
+    ahead = f"""SELECT {names}, px + vx * gap px, vx, py + vy * gap py, vy, a + 2 * gap * b + gap * gap * c + 0.64e0 * gap * gap a, b + gap * c b, c + 0.36e0 * gap c
+ FROM kf k JOIN ready r ON r.traj_id = k.traj_id AND r.rn = k.rn + 1"""
+    return f"{MATCHED.format(left=left)}, {ready}, kf AS ({measured(start)} UNION ALL {measured(ahead)})"
+
+
+_FUSED = """SELECT j.traj_id, j.seq, round(px, 3) + 0e0 x, round(py, 3) + 0e0 y, round(vx, 3) + 0e0 v_e, round(vy, 3) + 0e0 v_n, f quality_score, f0 >= 0.35e0 AND (trusted OR j.o_x IS NOT NULL) trusted{reason}
+ FROM (SELECT *, round(f0, 3) + 0e0 f FROM (SELECT *, CASE WHEN o_x IS NOT NULL THEN greatest(0e0, least(1e0, 0.6e0 * quality_score + 0.4e0 * coalesce(n_quality, 1e0))) ELSE quality_score END f0 FROM joined)) j JOIN kf USING (traj_id, seq)"""
+ORACLES["ekf_fusion"] = f"WITH RECURSIVE {PTS}, {TRACK}, {kalman('pts')} " + _FUSED.format(reason=", CASE WHEN f0 >= 0.35e0 AND (trusted OR j.o_x IS NOT NULL) THEN 0 ELSE 40 END trust_reason")
+ORACLES["ekf_sd_fusion"] = f"WITH RECURSIVE {PTS}, {SD}, {TRACK}, {kalman('sd')} " + _FUSED.format(reason="")
 q("road_segments", SEGS, sql=f"SELECT seg_id, road_id, {', '.join(f'{r(c)} {c}' for c in ('x1', 'y1', 'x2', 'y2'))}, {r('heading', 5)} heading, {r('len')} len FROM segs")
 _LANES = ", ".join(f"({i}, {float(o)}e0)" for i, o in enumerate(LANE_OFFSETS))
 q(
@@ -157,6 +200,10 @@ NODES = _ENDS + ", node_of AS (SELECT a.id, min(b.id) node FROM ends a JOIN ends
 q("node_merge", SEGS, NODES, sql="SELECT seg_id, u, v FROM nodes")
 EDGES = NODES + ", one AS (SELECT u, v, len FROM segs JOIN nodes USING (seg_id) WHERE u <> v), edges AS (SELECT src, dst, min(w) w FROM (SELECT u src, v dst, len w FROM one UNION ALL SELECT v, u, len FROM one) GROUP BY 1, 2)"
 q("road_edges", SEGS, EDGES, sql=f"SELECT src, dst, {r('w')} w FROM edges")
+# least distances, improved round by round until none changes
+WAYS = """best(src, dst, d) USING KEY (src, dst) AS (SELECT src, dst, min(d) FROM (SELECT src, dst, w d FROM edges UNION ALL SELECT DISTINCT src, src, 0e0 FROM edges) GROUP BY 1, 2
+ UNION SELECT n.src, n.dst, n.d FROM (SELECT b.src, e.dst, min(b.d + e.w) d FROM best b JOIN edges e ON e.src = b.dst GROUP BY 1, 2) n LEFT JOIN recurring.best o ON o.src = n.src AND o.dst = n.dst WHERE o.d IS NULL OR n.d < o.d - 1e-9)"""
+ORACLES["shortest_paths"] = f"WITH RECURSIVE {SEGS}, {EDGES}, {WAYS} SELECT src, dst, {r('d', 2)} d FROM best"
 q("near_segments", PTS, SEGS, PROJ, sql=f"SELECT traj_id, seq, seg_id, {r('obs_dist')} obs_dist FROM near WHERE obs_dist <= 35")
 q("project_to_segment", PTS, SEGS, PROJ, sql=f"SELECT traj_id, seq, seg_id, {r('px')} px, {r('py')} py, {r('s')} s FROM near WHERE obs_dist <= 12")
 _LD = ", ".join(f"sqrt(pow(x - (px - sin(heading) * ({o}e0)), 2) + pow(y - (py + cos(heading) * ({o}e0)), 2))" for o in LANE_OFFSETS)
@@ -164,6 +211,43 @@ q("project_to_lane", PTS, SEGS, PROJ, sql=f"SELECT traj_id, seq, seg_id, CASE WH
 q("hmm_candidates_topk", PTS, SEGS, CAND, sql=f"SELECT traj_id, seq, cand, {r('obs_dist')} obs_dist, {r('s')} s FROM cands")
 EMIT = "hq AS (SELECT traj_id, seq, greatest(0.15e0, least(1e0, quality_score)) q, trusted FROM pts), em0 AS (SELECT c.*, NOT trusted OR q < 0.35e0 weak, q FROM cands c JOIN hq USING (traj_id, seq)), em AS (SELECT *, CASE WHEN weak THEN 22e0 ELSE 8e0 END / sqrt(q) emit_sigma FROM em0)"
 q("hmm_emission", PTS, SEGS, CAND, EMIT, sql=f"SELECT traj_id, seq, cand, weak, {r('emit_sigma')} emit_sigma, {r('0.5e0 * pow(obs_dist / emit_sigma, 2)')} emit_cost FROM em")
+STEPPED = "ob AS (SELECT *, greatest(0e0, least(200e0, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)))) step, lag(seq) OVER w before_, lag(chain_id) OVER w chain_before FROM ch WINDOW w AS (PARTITION BY traj_id ORDER BY seq))"
+_WAYS = "least(" + ", ".join(f"{a} + {b} + {d}.d" for a, p in (("p.s", "u"), ("p.len - p.s", "v")) for b, c in (("c.s", "u"), ("c.len - c.s", "v")) for d in (f"d{p}{c}",)) + ")"
+_DIST = " ".join(f"LEFT JOIN best d{p}{c} ON d{p}{c}.src = p.{p} AND d{p}{c}.dst = c.{c}" for p in "uv" for c in "uv")
+ROUTES = f"""cn AS (SELECT em.*, u, v, step, before_, chain_id, chain_before FROM em JOIN nodes USING (seg_id) JOIN (SELECT traj_id, seq, step, before_, chain_id, chain_before FROM ob) USING (traj_id, seq)),
+ routes AS (SELECT c.traj_id, c.seq, c.chain_id, p.cand p_cand, c.cand, c.step, c.weak OR p.weak either_, CASE WHEN c.seg_id = p.seg_id THEN abs(c.s - p.s) ELSE {_WAYS} END route
+ FROM cn c JOIN cn p ON p.traj_id = c.traj_id AND p.seq = c.before_ AND c.chain_id = c.chain_before {_DIST}),
+ trans AS (SELECT *, coalesce(abs(route - CASE WHEN either_ THEN least(step, 35e0) ELSE step END) / CASE WHEN either_ THEN 30e0 ELSE 15e0 END, 1e6) trans_cost FROM routes)"""
+_HMM = f"WITH RECURSIVE {PTS}, {SEGS}, {CAND}, {EMIT}, {CHAIN}, {STEPPED}, {EDGES}, {WAYS}, {ROUTES}"
+ORACLES["hmm_route_distance"] = f"{_HMM} SELECT traj_id, seq, p_cand, cand, {r('route', 2)} route FROM routes"
+ORACLES["hmm_transition"] = f"{_HMM} SELECT traj_id, seq, p_cand, cand, {r('trans_cost', 2)} trans_cost FROM trans"
+
+
+def best_path(emission: str) -> str:
+    """Through each chain, a point a round: forward the least cost of each candidate and the one it comes from, then back from the least last one."""
+    return f"""at_ AS (SELECT traj_id, seq, chain_id, row_number() OVER (PARTITION BY traj_id, chain_id ORDER BY seq) rn, count(*) OVER (PARTITION BY traj_id, chain_id) n FROM ch),
+ ec AS (SELECT em.*, chain_id, rn, n, {emission} emit_cost FROM em JOIN at_ USING (traj_id, seq)),
+ fw AS (SELECT traj_id, chain_id, rn, seq, cand, emit_cost cost, CAST(NULL AS INTEGER) prev FROM ec WHERE rn = 1
+ UNION ALL SELECT e.traj_id, e.chain_id, e.rn, e.seq, e.cand, min(f.cost + t.trans_cost) + any_value(e.emit_cost), arg_min(f.cand, (f.cost + t.trans_cost, f.cand))
+ FROM fw f JOIN ec e ON e.traj_id = f.traj_id AND e.chain_id = f.chain_id AND e.rn = f.rn + 1 JOIN trans t ON t.traj_id = e.traj_id AND t.seq = e.seq AND t.p_cand = f.cand AND t.cand = e.cand GROUP BY ALL),
+ ends_ AS (SELECT traj_id, chain_id, max(rn) rn FROM fw GROUP BY 1, 2),
+ bw AS (SELECT f.traj_id, f.chain_id, f.rn, f.seq, f.cand, f.prev FROM fw f JOIN ends_ USING (traj_id, chain_id, rn) QUALIFY row_number() OVER (PARTITION BY f.traj_id, f.chain_id ORDER BY f.cost, f.cand) = 1
+ UNION ALL SELECT f.traj_id, f.chain_id, f.rn, f.seq, f.cand, f.prev FROM bw b JOIN fw f ON f.traj_id = b.traj_id AND f.chain_id = b.chain_id AND f.rn = b.rn - 1 AND f.cand = b.prev)"""
+
+
+_EC = "0.5e0 * pow(obs_dist / emit_sigma, 2)"
+ORACLES["hmm_viterbi"] = f"{_HMM}, {best_path(_EC)} SELECT traj_id, seq, chain_id, cand, {r('cost', 2)} cost FROM bw JOIN (SELECT traj_id, seq, min(cost) cost FROM fw GROUP BY 1, 2) USING (traj_id, seq)"
+_LAT, _LON = r(f"30e0 + degrees(py / {R}e0)", 8), r(f"120e0 + degrees(px / ({R}e0 * cos(radians(30e0))))", 8)
+_PLAIN_EMIT = "em AS (SELECT *, FALSE weak, 8e0 emit_sigma FROM cands)"
+ORACLES["hmm_matched"] = (
+    f"WITH RECURSIVE {PTS}, {SEGS}, {CAND}, {_PLAIN_EMIT}, {CHAIN}, {STEPPED}, {EDGES}, {WAYS}, {ROUTES}, {best_path(_EC)} "
+    f"SELECT traj_id, seq, seg_id, {_LAT} lat, {_LON} lon, {r(f'greatest(0.05e0, least(1e0, exp(-({_EC}))))')} quality_score, obs_dist < 35 trusted FROM bw JOIN em USING (traj_id, seq, cand)"
+)
+_SD_PTS = "pts AS (SELECT * FROM sd)"
+ORACLES["hmm_sd_matched"] = (
+    f"WITH RECURSIVE {PTS.replace('pts AS', 'pts0 AS')}, {SD.replace('FROM pts', 'FROM pts0')}, {_SD_PTS}, {SEGS}, {CAND}, {EMIT}, {CHAIN}, {STEPPED}, {EDGES}, {WAYS}, {ROUTES}, {best_path(_EC)} "
+    f"SELECT bw.traj_id, bw.seq, em.seg_id, {_LAT} lat, {_LON} lon, {r('pts.quality_score')} quality_score, pts.trusted FROM bw JOIN em USING (traj_id, seq, cand) JOIN pts USING (traj_id, seq)"
+).replace("em.seg_id, round(30e0 + degrees(py", "em.seg_id, round(30e0 + degrees(em.py").replace("degrees(px /", "degrees(em.px /")
 VOTE = f"""head AS (SELECT hd.*, coalesce(CASE WHEN sqrt(e * e + n * n) > 0.35e0 THEN atan2(n, e) END, obs_heading) hh FROM hd JOIN (SELECT traj_id tj, seq sq,
  CASE WHEN ps BETWEEN 0.05e0 AND 60 THEN pha_e WHEN ds <= 60 THEN vel_e END e, CASE WHEN ps BETWEEN 0.05e0 AND 60 THEN pha_n WHEN ds <= 60 THEN vel_n END n FROM sp) ON tj = traj_id AND sq = seq),
  num AS (SELECT *, row_number() OVER {LAG} rn, count(*) OVER (PARTITION BY traj_id) cn FROM head),

@@ -24,8 +24,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(30.0) + (e % 7) * F.lit(0.5) * F.lit(LAT_M)).alias("lat"),
         (F.lit(120.0) + (F.lit(10.0) * s + F.col("value") / F.lit(10.0)) * F.lit(LON_M)).alias("lon"),
         (F.lit(10.0) + e % 5).alias("h"),
-        F.lit(10.0).alias("vel_e"),
-        F.lit(0.0).alias("vel_n"),
+        F.when(e % 37 != 0, F.lit(10.0)).alias("vel_e"),
+        ((e % 3 - 1) * F.lit(0.2)).alias("vel_n"),
         F.lit(0.0).alias("vel_u"),
         F.when(e % 11 != 0, F.lit(10.0) + (e % 3) * F.lit(0.1)).alias("pha_e"),
         F.lit(0.0).alias("pha_n"),
@@ -46,15 +46,16 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matched track in the frame REF."""
+    """A matched track in the frame REF, with rows of one time, without a place and without a quality."""
     e, s = F.col("event_id"), F.col("event_id") % 500
     return events(spark, sf_dir).where(e % 10 != 0).select(
         F.floor(e / 500.0).cast("long").alias("traj_id"),
-        (F.lit(1678330000000) + e * 1000 + (e % 4) * 200).alias("ts_ms"),
-        (F.lit(10.0) * s + (e % 4) * F.lit(2.0)).alias("x"),
+        s.alias("seq"),
+        (F.lit(1678330000000) + e * 1000 + F.when(e % 29 == 0, F.lit(1000)).otherwise((e % 4) * 200)).alias("ts_ms"),
+        F.when(e % 23 != 0, F.lit(10.0) * s + (e % 4) * F.lit(2.0)).alias("x"),
         F.lit(0.0).alias("y"),
         F.lit(9.0).alias("h"),
-        (F.lit(0.5) + (e % 5) * F.lit(0.1)).alias("quality_score"),
+        F.when(e % 17 != 0, F.lit(0.5) + (e % 5) * F.lit(0.1)).alias("quality_score"),
         (e % 9 != 0).alias("trusted"),
     )
 
