@@ -8,9 +8,12 @@ from .registry import ORACLES
 R = 6378137.0
 K = "CAST(floor(event_id / 500e0) AS BIGINT) traj_id, event_id % 500 seq"
 
-OBS = f"""obs AS (SELECT {K}, 1678330000000 + event_id * 1000 ts_ms, 30e0 + (event_id % 7) * 0.5e0 * 0.9e-5 lat,
- 120e0 + (10e0 * (event_id % 500) + value / 10e0) * 1.04e-5 lon, 10e0 + event_id % 5 h, CASE WHEN event_id % 37 <> 0 THEN 10e0 END vel_e, (event_id % 3 - 1) * 0.2e0 vel_n,
- CASE WHEN event_id % 11 <> 0 THEN 10e0 + (event_id % 3) * 0.1e0 END pha_e, 0e0 pha_n,
+STILL = "event_id % 500 BETWEEN 200 AND 209"
+OBS = f"""obs AS (SELECT {K}, 1678330000000 + event_id * 1000 - CASE WHEN event_id % 331 = 0 THEN 3000 ELSE 0 END ts_ms,
+ 30e0 + CASE WHEN event_id % 211 = 0 THEN 200e0 ELSE (event_id % 7) * 0.5e0 END * 0.9e-5 lat,
+ 120e0 + CASE WHEN {STILL} THEN 2130e0 + value / 1000e0 ELSE 10e0 * (event_id % 500) + value / 10e0 END * 1.04e-5 lon, 10e0 + event_id % 5 h,
+ CASE WHEN event_id % 37 <> 0 THEN CASE WHEN {STILL} THEN 0e0 ELSE 10e0 END END vel_e, CASE WHEN {STILL} THEN 0e0 ELSE (event_id % 3 - 1) * 0.2e0 END vel_n,
+ CASE WHEN event_id % 11 <> 0 THEN CASE WHEN {STILL} THEN 0e0 ELSE 10e0 + (event_id % 3) * 0.1e0 END END pha_e, 0e0 pha_n,
  CASE WHEN event_id % 4 = 0 THEN 0.3e0 ELSE 1e0 END quality_score, event_id % 6 <> 0 trusted
  FROM events WHERE NOT (event_id % 500 BETWEEN 100 AND 109) AND NOT (event_id % 500 BETWEEN 300 AND 306))"""
 PTS = OBS + f""", pts AS (SELECT *, {R}e0 * radians(lon - 120e0) * cos(radians(30e0)) x, {R}e0 * radians(lat - 30e0) y FROM obs)"""
@@ -35,8 +38,12 @@ PROJ = """raw AS (SELECT traj_id, seq, seg_id, p.x, p.y, heading, x1, y1, x2, y2
  FROM pts p JOIN segs ON p.x BETWEEN least(x1, x2) - 40 AND greatest(x1, x2) + 40 AND p.y BETWEEN least(y1, y2) - 40 AND greatest(y1, y2) + 40),
  proj AS (SELECT *, x1 + (x2 - x1) * t px, y1 + (y2 - y1) * t py, t * len s FROM raw),
  near AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) obs_dist FROM proj)"""
-# in the stand-in data every point has a segment within 35 m
-CAND = PROJ + """, cands AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY traj_id, seq ORDER BY obs_dist, seg_id) - 1 AS INTEGER) cand FROM near WHERE obs_dist <= 35) WHERE cand < 8)"""
+# a point without a segment within 35 m has the nearest of all
+CAND = PROJ + """, far0 AS (SELECT traj_id, seq, seg_id, p.x, p.y, heading, x1, y1, x2, y2, len, greatest(0e0, least(1e0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / (len * len))) t
+ FROM pts p, segs WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.traj_id = p.traj_id AND n.seq = p.seq AND obs_dist <= 35)),
+ far AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) obs_dist FROM (SELECT *, x1 + (x2 - x1) * t px, y1 + (y2 - y1) * t py, t * len s FROM far0)),
+ cands AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY traj_id, seq ORDER BY obs_dist, seg_id) - 1 AS INTEGER) cand FROM near WHERE obs_dist <= 35) WHERE cand < 8
+ UNION ALL SELECT * EXCLUDE (rk), 0 cand FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY obs_dist, seg_id) rk FROM far) WHERE rk = 1)"""
 
 
 def r(x: str, n: int = 3) -> str:
@@ -260,7 +267,7 @@ VOTE = f"""head AS (SELECT hd.*, coalesce(CASE WHEN sqrt(e * e + n * n) > 0.35e0
 PROJ_WIDE = PROJ.replace("40", "45")
 q("smp_vote", PTS, SPEED, HEAD, SEGS, PROJ_WIDE, VOTE, sql=f"SELECT traj_id, at_seq seq, seg_id, {r('score', 5)} score FROM top WHERE rk = 1")
 _F = "printf('%.10f', {})"
-_STATE = ", ".join(_F.format(x) for x in (r("lat", 8), r("lon", 8), "h", r("x"), r("y"), "vel_e", "vel_n", "0e0", "quality_score"))
+_STATE = ", ".join(f"coalesce({_F.format(x)}, 'nan')" for x in (r("lat", 8), r("lon", 8), "h", r("x"), r("y"), "vel_e", "vel_n", "0e0", "quality_score"))
 q("car_points_format", PTS, sql=f"SELECT traj_id, seq, concat_ws(' ', ts_ms::VARCHAR, {_STATE}, CASE WHEN trusted THEN '1' ELSE '0' END, '0') line FROM pts")
 q("track_parse", PTS, sql=f"SELECT traj_id, seq, ts_ms, {r('lat', 8)} lat, {r('lon', 8)} lon, {r('x')} x, quality_score, trusted, 0 trust_reason FROM pts")
 q("coor_parse", OBS, sql=f"SELECT traj_id, seq, CAST(round((2252 * 604800e0 + seq + 315964800e0) * 1000e0) AS BIGINT) ts_ms, {r('lat', 8)} lat, {r('lon', 8)} lon, h, 2 n_extra FROM obs WHERE seq % 50 <> 0")

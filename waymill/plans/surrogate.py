@@ -14,20 +14,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 rows a trajectory, a second apart, with two gaps each; eastward at 10 m/s with jitter from value."""
+    """500 rows a trajectory, a second apart, with two gaps each; eastward at 10 m/s with jitter from value. It stands still for ten rows; some
+    rows lie 200 m off all roads, some go back in time, and some have no speed."""
     e, s = F.col("event_id"), F.col("event_id") % 500
+    still = s.between(200, 209)
+    east = F.when(still, F.lit(2130.0) + F.col("value") / F.lit(1000.0)).otherwise(F.lit(10.0) * s + F.col("value") / F.lit(10.0))
+    north = F.when(e % 211 == 0, F.lit(200.0)).otherwise((e % 7) * F.lit(0.5))
     own = events(spark, sf_dir).where(~s.between(100, 109) & ~s.between(300, 306))
     return own.select(
         F.floor(e / 500.0).cast("long").alias("traj_id"),
         s.alias("seq"),
-        (F.lit(1678330000000) + e * 1000).alias("ts_ms"),
-        (F.lit(30.0) + (e % 7) * F.lit(0.5) * F.lit(LAT_M)).alias("lat"),
-        (F.lit(120.0) + (F.lit(10.0) * s + F.col("value") / F.lit(10.0)) * F.lit(LON_M)).alias("lon"),
+        (F.lit(1678330000000) + e * 1000 - F.when(e % 331 == 0, F.lit(3000)).otherwise(F.lit(0))).alias("ts_ms"),
+        (F.lit(30.0) + north * F.lit(LAT_M)).alias("lat"),
+        (F.lit(120.0) + east * F.lit(LON_M)).alias("lon"),
         (F.lit(10.0) + e % 5).alias("h"),
-        F.when(e % 37 != 0, F.lit(10.0)).alias("vel_e"),
-        ((e % 3 - 1) * F.lit(0.2)).alias("vel_n"),
+        F.when(e % 37 != 0, F.when(still, F.lit(0.0)).otherwise(F.lit(10.0))).alias("vel_e"),
+        F.when(still, F.lit(0.0)).otherwise((e % 3 - 1) * F.lit(0.2)).alias("vel_n"),
         F.lit(0.0).alias("vel_u"),
-        F.when(e % 11 != 0, F.lit(10.0) + (e % 3) * F.lit(0.1)).alias("pha_e"),
+        F.when(e % 11 != 0, F.when(still, F.lit(0.0)).otherwise(F.lit(10.0) + (e % 3) * F.lit(0.1))).alias("pha_e"),
         F.lit(0.0).alias("pha_n"),
         F.when(e % 4 == 0, F.lit(0.3)).otherwise(F.lit(1.0)).alias("quality_score"),
         (e % 6 != 0).alias("trusted"),
