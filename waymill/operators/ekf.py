@@ -94,13 +94,17 @@ def fuse(points: DataFrame, track: DataFrame, ref: tuple[float, float], o: Ekf =
     q, t = (F.col("quality_score"), F.col("trusted")) if o.use_quality_noise else (F.lit(1.0), F.lit(True))
     oq, ot = (F.col("o_quality"), F.col("o_trusted")) if o.use_quality_noise else (F.lit(1.0), F.lit(True))
     ready = joined.withColumns({"gnss_scale": quality.noise_scale(q, t, o), "road_scale": quality.noise_scale(oq, F.coalesce(ot, F.lit(True)), o)})
-    ready = ready.persist()
-    states = ready.select("traj_id", "seq", "ts_ms", "x", "y", "vel_e", "vel_n", "gnss_scale", "o_x", "o_y", "road_scale").groupBy("traj_id").applyInPandas(lambda pdf: fold(pdf, o), "traj_id long, seq long, x double, y double, v_e double, v_n double")
     road = F.col("o_x").isNotNull()
     gq = quality.safe_quality(F.col("quality_score"))
     fused = F.when(road, geo.clamp(0.6 * gq + 0.4 * quality.safe_quality(F.col("n_quality")), 0.0, 1.0)).otherwise(gq)
-    rest = ready.select("traj_id", "seq", "ts_ms", F.when(geo.is_finite("h"), F.col("h")).otherwise(F.col("n_h")).alias("h"), F.col("vel_u").alias("v_u"), fused.alias("quality_score"), (F.col("trusted") | road).alias("_either"))
-    out = states.join(rest, ["traj_id", "seq"])
+    rest = ready.select("traj_id", "seq", "ts_ms", "x", "y", "vel_e", "vel_n", "gnss_scale", "o_x", "o_y", "road_scale", F.when(geo.is_finite("h"), F.col("h")).otherwise(F.col("n_h")).alias("h"), F.col("vel_u").alias("v_u"), fused.alias("quality_score"), (F.col("trusted") | road).alias("_either"))
+    along = ["ts_ms", "h", "v_u", "quality_score", "_either"]  # go through the fold as they are
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq").reset_index(drop=True)
+        return pd.concat([fold(pdf, o), pdf[along]], axis=1)
+
+    out = rest.groupBy("traj_id").applyInPandas(run, "traj_id long, seq long, x double, y double, v_e double, v_n double, ts_ms long, h double, v_u double, quality_score double, _either boolean")
     lat0, lon0 = F.lit(ref[0]), F.lit(ref[1])
     trusted = (F.col("quality_score") >= o.trusted_quality) & F.col("_either")
     return out.select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, quality
 from ..functions.constants import Hmm
 from .observations import chains, ordered
-from .roads import edges, grid_join, merged_nodes, wanted_paths
+from .roads import checkpointed, edges, grid_join, merged_nodes, wanted_paths
 
 
 def candidates(points: DataFrame, segs: DataFrame, o: Hmm = Hmm()) -> DataFrame:
@@ -22,7 +22,7 @@ def candidates(points: DataFrame, segs: DataFrame, o: Hmm = Hmm()) -> DataFrame:
     own = points.select(*keys, "x", "y")
     cols = [*keys, "seg_id", F.col("px").alias("cx"), F.col("py").alias("cy"), "s", "obs_dist"]
     found = grid_join(own, segs, o.radius_m).select(*cols)
-    rest, radius = own.join(found.select(*keys).distinct(), keys, "left_anti").cache(), o.radius_m
+    rest, radius = checkpointed(own.join(found.select(*keys).distinct(), keys, "left_anti")), o.radius_m
     extra = None
     for _ in range(12):
         if not rest.limit(1).count():
@@ -31,7 +31,7 @@ def candidates(points: DataFrame, segs: DataFrame, o: Hmm = Hmm()) -> DataFrame:
         hit = grid_join(rest, segs, radius).select(*cols)
         one = hit.groupBy(*keys).agg(F.min(F.struct("obs_dist", "seg_id", "cx", "cy", "s")).alias("m")).select(*keys, "m.seg_id", "m.cx", "m.cy", "m.s", "m.obs_dist")
         extra = one if extra is None else extra.unionByName(one)
-        rest = rest.join(hit.select(*keys).distinct(), keys, "left_anti")
+        rest = checkpointed(rest.join(hit.select(*keys).distinct(), keys, "left_anti"))
     best = Window.partitionBy(*keys).orderBy("obs_dist", "seg_id")
     top = found.withColumn("cand", F.row_number().over(best) - 1).where(F.col("cand") < o.top_k)
     return top if extra is None else top.unionByName(extra.withColumn("cand", F.lit(0)))
@@ -73,10 +73,10 @@ def wanted_ends(between: DataFrame) -> DataFrame:
     return between.select(F.explode(ways).alias("w")).select("w.*").distinct()
 
 
-def route_distances(pairs: DataFrame, distances: DataFrame) -> DataFrame:
+def route_distances(pairs: DataFrame, distances: DataFrame, between: DataFrame | None = None) -> DataFrame:
     """pairs with route: along the segment if it is one, else the least way over an end of each; null if there is none. Node distances are put
     together for pairs of segments first, so that candidates meet one row."""
-    between = segment_pairs(pairs)
+    between = between or segment_pairs(pairs)
     ways = F.array(*(F.struct(F.lit(name).alias("way"), F.col(f"p_{p}").alias("src"), F.col(c).alias("dst")) for name, p, c in ENDS))
     long = between.select("p_seg_id", "seg_id", F.explode(ways).alias("w")).select("p_seg_id", "seg_id", "w.*").join(distances, ["src", "dst"])
     known = long.groupBy("p_seg_id", "seg_id").agg(*(F.min(F.when(F.col("way") == name, F.col("d"))).alias(f"_{name}") for name, _, _ in ENDS))
@@ -130,13 +130,14 @@ def viterbi(emitted: DataFrame, stepped: DataFrame, transitions: DataFrame) -> D
 def match(points: DataFrame, segs: DataFrame, speed_detection: bool = False, o: Hmm = Hmm(), route_most: float = math.inf) -> DataFrame:
     """points(traj_id, seq, ts_ms, x, y, quality_score, trusted) with seg_id, mx, my, obs_dist, emit_cost and, without speed detection, the
     matcher's own quality, trust and reason. Chains are matched each on its own: one that fails doesn't take the others with it."""
-    cands = candidates(points, segs, o).cache()
-    nodes = merged_nodes(segs, o.merge_m).cache()
+    cands = checkpointed(candidates(points, segs, o))
+    nodes = checkpointed(merged_nodes(segs, o.merge_m))
     stepped = observation_steps(points, o)
     emitted = emissions(points, cands, speed_detection, o)
     pairs = candidate_pairs(emitted, stepped, segs, nodes)
-    distances = wanted_paths(edges(segs, nodes), wanted_ends(segment_pairs(pairs)), route_most)
-    costs = transition_costs(route_distances(pairs, distances), o)
+    between = checkpointed(segment_pairs(pairs))
+    distances = wanted_paths(edges(segs, nodes), wanted_ends(between), route_most)
+    costs = transition_costs(route_distances(pairs, distances, between), o)
     chosen = viterbi(emitted, stepped, costs)
     out = points.join(chosen, ["traj_id", "seq"], "left").join(emitted.select("traj_id", "seq", "cand", "seg_id", F.col("cx").alias("mx"), F.col("cy").alias("my"), "obs_dist", "emit_cost", "emit_sigma"), ["traj_id", "seq", "cand"], "left")
     if speed_detection:

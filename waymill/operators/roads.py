@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,25 +117,31 @@ def near_parallel(segs: DataFrame, degrees: float = StateMachine().cluster_deg,
     return own.join(near, ["cx", "cy"]).where(ok).select(F.col("seg_id").alias("a"), "b")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once: its lineage ends here, and a lost executor's part is read again."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waymill-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.match(r"local($|\[)", context.master):
+                raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="waymill-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """id, root (the least id within reach) for nodes(id) and edges(a, b): least labels spread along edges, and labels jump to their own
     label's label, until nothing changes."""
-    both = _checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _checkpoint(nodes.select("id", F.col("id").alias("root")))
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = checkpointed(nodes.select("id", F.col("id").alias("root")))
     for _ in range(rounds):
         best = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("seen"))
         new = label.join(best, "id", "left").select("id", F.least("root", "seen").alias("root"), F.col("root").alias("old"))
         jump = new.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = _checkpoint(new.join(jump, "root").select("id", F.least("root", "next").alias("root"), "old"))
+        new = checkpointed(new.join(jump, "root").select("id", F.least("root", "next").alias("root"), "old"))
         moved = new.where("root <> old").limit(1).count()
         label = new.select("id", "root")
         if not moved:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 STATE_HEADER = "timestamp_ms lat lon h x y vE vN vU quality trusted reason"
 HMM_HEADER = "timestamp(ms, UTC)\tlatitude(deg)\tlongitude(deg)\theight(m)"
+HMM_DEBUG_HEADER = "timestamp(ms)\tlat\tlon\tseg_id\tobs_dist(m)\temit_cost\temit_sigma\tinput_trusted\tinput_quality\tweak_obs"
 
 
 def fixed(c: str | Column, digits: int = 10) -> Column:
@@ -37,6 +38,26 @@ def hmm_lines(points: DataFrame) -> DataFrame:
     return points.select("traj_id", "seq", F.concat_ws("\t", F.col("ts_ms").cast("string"), *(fixed(c, 8) for c in ("lat", "lon", "h"))).alias("line"))
 
 
+def hmm_debug_lines(points: DataFrame) -> DataFrame:
+    """What the hidden-Markov matcher chose and why: the columns of HMM_DEBUG_HEADER by tabs, reals with eight decimals. Unmatched rows have none."""
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    cols = [F.col("ts_ms").cast("string"), fixed("lat", 8), fixed("lon", 8), F.col("seg_id").cast("string"), fixed("obs_dist", 8), fixed("emit_cost", 8), fixed("emit_sigma", 8), flag("trusted"), fixed("quality_score", 8), flag("weak")]
+    return points.where("seg_id is not null").select("traj_id", "seq", F.concat_ws("\t", *cols).alias("line"))
+
+
+def track_kml(points: DataFrame, title: str = "Matched trajectory") -> DataFrame:
+    """traj_id and one KML document of each trajectory's places in order, as a green line. A document is one trajectory, as in a fold."""
+    item = F.struct("seq", F.concat_ws(",", _number("lon"), _number("lat"), F.coalesce(fixed("h"), F.lit("0"))).alias("at"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["at"]), "\n")
+    head = (
+        '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n'
+        f'<name>{title}</name>\n<Style id="line"><LineStyle><color>ff00ff00</color><width>4</width></LineStyle></Style>\n'
+        '<Placemark>\n<styleUrl>#line</styleUrl>\n<LineString><tessellate>1</tessellate><coordinates>\n'
+    )
+    tail = "\n</coordinates></LineString>\n</Placemark>\n</Document>\n</kml>"
+    return points.where("lat is not null and lon is not null").groupBy("traj_id").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("line"))
+
+
 def evaluation_lines(rows: DataFrame) -> DataFrame:
     """index, time, error before and after, truth and detection flags, trust, quality, by tabs."""
     flag = lambda c: F.col(c).cast("int").cast("string")
@@ -59,6 +80,11 @@ def write_lines(lines: DataFrame, path: str, by: tuple[str, ...] = ("traj_id", "
     lines.orderBy(*by).select("line").write.mode("overwrite").text(path)
 
 
+def write_tracks(lines: DataFrame, path: str, by: tuple[str, ...] = ("traj_id", "seq")) -> None:
+    """The lines in order, in a folder traj_id=... for each trajectory, so that reading gives the trajectory back."""
+    lines.repartitionByRange(*by).sortWithinPartitions(*by).select("traj_id", "line").write.mode("overwrite").partitionBy("traj_id").text(path)
+
+
 def write_kml(roads: DataFrame, path: str) -> None:
     """One document: a network's file is read whole anyway."""
     body = roads.transform(kml).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("road_id", "line"))), lambda x: x["line"]), "\n").alias("b"))

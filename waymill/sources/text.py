@@ -73,22 +73,22 @@ def road_matched(text: DataFrame, default_type: str = "GPS_matched", default_rad
     return out.where("ts_ms is not null and lat is not null and lon is not null and h is not null and radius is not null")
 
 
-def kml_roads(whole: DataFrame, three_part_only: bool = False) -> DataFrame:
+def kml_roads(whole: DataFrame, three_part_only: bool = False, least_points: int = 2) -> DataFrame:
     """road_id, lane_id, lane_offset, name, points from DataFrame(file, value) of whole KML texts: one polyline for each <coordinates> element
-    with at least two good tuples lon,lat[,h]; h is 0 where missing, unless only three-part tuples count."""
+    with at least least_points good tuples lon,lat[,h] (1: a lone vertex makes no segment, but counts in a network's centroid); h is 0 where missing, unless only three-part tuples count."""
     raw = whole.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"<coordinates>([^<]+)</coordinates>"), F.lit(1))).alias("line", "text"))
     tuples = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda t: F.length(t) > 0)
     num = lambda t, i: F.get(F.split(t, ","), F.lit(i)).try_cast("double")
     points = F.transform(tuples, lambda t: F.struct(num(t, 1).alias("lat"), num(t, 0).alias("lon"), (num(t, 2) if three_part_only else F.coalesce(num(t, 2), F.lit(0.0))).alias("h")))
-    good = raw.select("file", "line", F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull() & p["h"].isNotNull()).alias("points")).where(F.size("points") >= 2)
+    good = raw.select("file", "line", F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull() & p["h"].isNotNull()).alias("points")).where(F.size("points") >= least_points)
     from pyspark.sql import Window
 
     number = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
     return good.select("file", number.alias("road_id"), F.lit(0).alias("lane_id"), F.lit(0.0).alias("lane_offset"), F.concat(F.lit("road_"), number.cast("string")).alias("name"), "points")
 
 
-def read_kml(spark: SparkSession, path: str, three_part_only: bool = False) -> DataFrame:
-    return kml_roads(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), three_part_only)
+def read_kml(spark: SparkSession, path: str, three_part_only: bool = False, least_points: int = 2) -> DataFrame:
+    return kml_roads(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), three_part_only, least_points)
 
 
 def first_that_exists(spark: SparkSession, paths: list[str]) -> DataFrame:
