@@ -97,22 +97,23 @@ def transition_costs(routes: DataFrame, o: Hmm = Hmm()) -> DataFrame:
 def viterbi(emitted: DataFrame, stepped: DataFrame, transitions: DataFrame) -> DataFrame:
     """traj_id, seq, cand, cost: the path of least cost through each chain; the lowest candidate wins ties. One group is one chain."""
     keys = ["traj_id", "chain_id", "seq"]
-    e = emitted.join(stepped.select(*keys), ["traj_id", "seq"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cand", "emit_cost"))).alias("emit"))
-    t = transitions.groupBy(*keys).agg(F.collect_list(F.struct("p_cand", "cand", "trans_cost")).alias("trans"))
+    e = emitted.join(stepped.select(*keys), ["traj_id", "seq"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cand", "emit_cost"))).alias("e"))
+    e = e.select(*keys, F.col("e.emit_cost").alias("emit"))
+    t = transitions.groupBy(*keys).agg(F.collect_list(F.struct("p_cand", "cand", "trans_cost")).alias("t"))
+    t = t.select(*keys, F.col("t.p_cand").alias("of"), F.col("t.cand").alias("to"), F.col("t.trans_cost").alias("trans"))  # flat arrays: no objects in Python
     rows = e.join(t, keys, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         back, cost, costs = [], None, []
-        for emit, trans in zip(pdf["emit"], pdf["trans"], strict=True):
-            e = np.array([x["emit_cost"] for x in emit])
+        for e, of, to, trans in zip(pdf["emit"], pdf["of"], pdf["to"], pdf["trans"], strict=True):
             if cost is None:
                 cost = e
                 back.append(np.zeros(len(e), int))
             else:
                 m = np.full((len(cost), len(e)), np.inf)
-                for x in trans if trans is not None else ():
-                    m[x["p_cand"], x["cand"]] = x["trans_cost"]
+                if trans is not None:
+                    m[of, to] = trans
                 m = cost[:, None] + m
                 back.append(m.argmin(0))
                 cost = m.min(0) + e
