@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.constants import EXCLUDE_WINDOWS, KEEP_WINDOW, LANE_OFFSETS
+from ..operators.lane_candidates import STATES
 from .registry import ORACLES
 
 R = 6378137.0
@@ -274,3 +275,61 @@ q("coor_parse", OBS, sql=f"SELECT traj_id, seq, CAST(round((2252 * 604800e0 + se
 q("truth_parse", TRUTH, sql=f"SELECT traj_id, 'GPS' data_type, ts_ms, {r('lat', 8)} lat, {r('lon', 8)} lon, NULL::DOUBLE h, 0.5e0 radius FROM truth WHERE ts_ms % 7 <> 0")
 q("road_matched_parse", PTS, sql=f"SELECT traj_id, seq, CASE WHEN seq % 2 = 0 THEN 'GPS_matched' ELSE 'GPS_inv' END data_type, ts_ms, {r('lat', 8)} lat, {r('lon', 8)} lon, CASE WHEN seq % 2 = 0 THEN 0.5e0 ELSE 0.75e0 END radius FROM pts")
 q("kml_parse", VERT, sql=f"SELECT road_id, k::INTEGER point_id, {r('lat', 8)} lat, {r('lon', 8)} lon, 5e0 h FROM verts")
+
+_F8 = "coalesce(printf('%.8f', {}), 'nan')"
+q("hmm_lines_format", PTS, sql=f"SELECT traj_id, seq, concat_ws(chr(9), ts_ms::VARCHAR, {_F8.format(r('lat', 8))}, {_F8.format(r('lon', 8))}, {_F8.format('h')}) line FROM pts")
+_FLAG = "CASE WHEN {} THEN '1' ELSE '0' END"
+_EVQ = EVAL.replace("NOT trusted OR", "trusted, quality_score, ts_ms, NOT trusted OR")
+q(
+    "evaluation_format", PTS, SD, TRUTH, asof("truth", "sd", ("lat", "lon"), 2000, True), _EVQ,
+    sql=f"SELECT traj_id, seq, concat_ws(chr(9), seq::VARCHAR, ts_ms::VARCHAR, {_F8.format(r('error_m'))}, {_F8.format(r('error_m'))}, {_FLAG.format('error_m > 5')}, {_FLAG.format('sd_abnormal')}, {_FLAG.format('trusted')}, {_F8.format(r('quality_score'))}) line FROM ev",
+)
+_LANE_SQL = ORACLES["virtual_lanes"].replace(", 8) + 0e0 lat", ", 7) + 0e0 lat").replace(", 8) + 0e0 lon", ", 7) + 0e0 lon")
+ORACLES["lane_lines_format"] = f"SELECT road_id, point_id, concat_ws(' ', road_id::VARCHAR, lane_id::VARCHAR, point_id::VARCHAR, {', '.join(_F.format(c) for c in ('lat', 'lon', 'h', 'offset_m'))}) line FROM ({_LANE_SQL})"
+_KML_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n<name>Matched trajectory</name>\n<Style id="line"><LineStyle><color>ff00ff00</color>'
+    '<width>4</width></LineStyle></Style>\n<Placemark>\n<styleUrl>#line</styleUrl>\n<LineString><tessellate>1</tessellate><coordinates>\n'
+)
+_KML_TAIL = "\n</coordinates></LineString>\n</Placemark>\n</Document>\n</kml>"
+q("track_kml_format", PTS, f"doc AS (SELECT traj_id, '{_KML_HEAD}' || string_agg(concat_ws(',', {_F.format(r('lon', 8))}, {_F.format(r('lat', 8))}, {_F.format('h')}), chr(10) ORDER BY seq) || '{_KML_TAIL}' line FROM pts GROUP BY 1)", sql="SELECT traj_id, sha256(line) sha256, length(line) n FROM doc")
+q(
+    "hmm_debug_format", OBS,
+    sql=f"SELECT traj_id, seq, concat_ws(chr(9), ts_ms::VARCHAR, {_F8.format(r('lat', 8))}, {_F8.format(r('lon', 8))}, seq::VARCHAR, {_F8.format('seq * 0.5e0')}, {_F8.format('seq * 0.25e0')}, '8.00000000', {_FLAG.format('trusted')}, {_F8.format('quality_score')}, {_FLAG.format('seq % 2 = 0')}) line FROM obs WHERE seq % 5 <> 0",
+)
+q("output_names", sql="SELECT source, m sd_match, n sd_noise, 'ekf_' || source || CASE WHEN m THEN '_sdmatch' ELSE '_normalmatch' END || CASE WHEN n THEN '_sdnoise' ELSE '_fixednoise' END || '_points.txt' output, '/out/' || source || '_debug.txt' debug FROM (VALUES ('mm'), ('hmm')) a(source), (VALUES (TRUE), (FALSE)) b(m), (VALUES (TRUE), (FALSE)) c(n)")
+q("sd_modes", sql="SELECT * FROM (VALUES (0, 'off'), (1, 'three_sigma'), (2, 'prediction')) m(mode, name)")
+q("valid_rows", OBS, TRACK, sql="SELECT (SELECT count(*) FROM obs) places, (SELECT count(*) FROM obs WHERE vel_e IS NOT NULL AND vel_n IS NOT NULL) speeds, (SELECT count(*) FROM track WHERE x IS NOT NULL) track_places")
+q("car_points_xy", PTS, sql=f"SELECT traj_id, seq, CASE WHEN seq % 2 = 0 THEN 1.5e0 ELSE {r('x')} END x, {r('y')} y FROM pts")
+q("endpoint_distances", SEGS, _ENDS, sql=f"SELECT a.seg_id, b.seg_id other, {r('min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} d2 FROM ends a JOIN ends b ON a.seg_id <> b.seg_id GROUP BY 1, 2 HAVING min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 64")
+q(
+    "near_intersection", PTS, SEGS, _ENDS, PROJ, "beside AS (SELECT DISTINCT a.seg_id FROM ends a JOIN ends b ON a.seg_id <> b.seg_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64)",
+    sql="SELECT traj_id, seq, seg_id, least(sqrt(pow(x - x1, 2) + pow(y - y1, 2)), sqrt(pow(x - x2, 2) + pow(y - y2, 2))) <= 30 AND seg_id IN (SELECT seg_id FROM beside) near_node FROM near WHERE obs_dist <= 12",
+)
+
+
+def lanes_sql(speed_detection: bool) -> str:
+    """The cheapest eight lanes of each point in the state `road`."""
+    w = [float(x) for x in STATES["road"]]
+    lanes = ", ".join(f"({i}, {float(o)}e0)" for i, o in enumerate(LANE_OFFSETS))
+    sm = lambda n: (lambda x: f"({x}) * ({x}) * (3e0 - 2e0 * ({x}))")(f"greatest(0e0, least(1e0, (res - 5e0) / {n}e0))")
+    cost = [f"{w[0]}e0 * dobs * dobs", f"coalesce({w[2]}e0 * mv, 0e0)"]
+    if speed_detection:
+        ql, grade = f"(1e0 - 0.80e0 * ({sm(7)}))", f"({sm(15)})"
+        cost = [
+            f"{w[0]}e0 * greatest(0.30e0, 0.15e0 + 0.85e0 * {ql}) * dobs * dobs", f"{w[1]}e0 * (1e0 + 0.80e0 * {grade} + 0.60e0 * (1e0 - {ql})) * (pow(lx - drx, 2) + pow(ly - dry, 2))",
+            f"{w[2]}e0 * (1e0 + 0.45e0 * {grade} + 0.45e0 * (1e0 - {ql})) * coalesce(mv, 0e0)", f"CASE WHEN still OR sp < 0.80e0 OR speed_e IS NULL THEN 0e0 ELSE (1e0 - cos(least({ang('atan2(speed_n, speed_e)', 'heading')}, {ang('atan2(speed_n, speed_e)', 'heading + pi()')}))) * {w[4]}e0 END",
+        ]
+    turn = f"CASE WHEN mv > 1 THEN least({ang('atan2(ly - y0, lx - x0)', 'heading')}, {ang('atan2(ly - y0, lx - x0)', 'heading + pi()')}) ELSE 0e0 END"
+    cost.append(f"CASE WHEN still THEN 0e0 ELSE (1e0 - cos({turn})) * {w[3]}e0 END")
+    reach = w[5]
+    return f"""WITH {PTS}, {SPEED.replace("WHEN ds BETWEEN 0.05e0 AND 60", "WHEN ds <= 60")}, {SEGS}, pv AS (SELECT *, lag(x) OVER w x0, lag(y) OVER w y0, lag(speed_e) OVER w e0_, lag(speed_n) OVER w n0_, (ts_ms - lag(ts_ms) OVER w) / 1000e0 dt FROM spd WINDOW w AS {LAG}),
+ dr AS (SELECT *, coalesce(x0 + e0_ * dt, x) drx, coalesce(y0 + n0_ * dt, y) dry, sqrt(speed_e * speed_e + speed_n * speed_n) sp FROM pv),
+ rw AS (SELECT d.*, seg_id, heading, x1, y1, x2, y2, greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (len * len))) t FROM dr d JOIN segs
+ ON x BETWEEN least(x1, x2) - {reach + 5} AND greatest(x1, x2) + {reach + 5} AND y BETWEEN least(y1, y2) - {reach + 5} AND greatest(y1, y2) + {reach + 5}),
+ ln AS (SELECT *, x1 + (x2 - x1) * t - sin(heading) * off lx, y1 + (y2 - y1) * t + cos(heading) * off ly FROM (SELECT * FROM rw WHERE sqrt(pow(x - x1 - (x2 - x1) * t, 2) + pow(y - y1 - (y2 - y1) * t, 2)) <= {reach}), (VALUES {lanes}) l(lane, off)),
+ ds AS (SELECT *, sqrt(pow(lx - x, 2) + pow(ly - y, 2)) dobs, pow(lx - x0, 2) + pow(ly - y0, 2) mv, sqrt(pow(x - drx, 2) + pow(y - dry, 2)) res, coalesce(sp <= 0.35e0, FALSE) still FROM ln),
+ cs AS (SELECT *, {' + '.join(cost)} cost FROM ds WHERE dobs <= 50)
+ SELECT traj_id, seq, cand, {r("cost", 4)} emit_cost FROM (SELECT *, CAST(row_number() OVER (PARTITION BY traj_id, seq ORDER BY cost, seg_id, lane) - 1 AS INTEGER) cand FROM cs) WHERE cand < 8"""
+
+
+ORACLES["lane_candidates"], ORACLES["lane_candidates_sd"] = lanes_sql(False), lanes_sql(True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, quality
 from ..functions.constants import LANE_OFFSETS
-from ..operators import asof, ekf, hmm, observations as obs, roads, speed_detection as sd, state_machine as sm
+from ..operators import asof, ekf, hmm, lane_candidates as lc, observations as obs, roads, speed_detection as sd, state_machine as sm
 from ..sources import sinks, text
 from . import surrogate as s
 from .registry import QUERIES
@@ -368,3 +368,87 @@ def kml_parse(spark, sf_dir):
     return text.kml_roads(whole).select(F.col("road_id").cast("long").alias("road_id"), F.posexplode("points").alias("point_id", "p")).select("road_id", "point_id", r("p.lat", 8).alias("lat"), r("p.lon", 8).alias("lon"), F.col("p.h").alias("h"))
 
 
+
+
+@query
+def hmm_lines_format(spark, sf_dir):
+    return sinks.hmm_lines(cars(spark, sf_dir).withColumns({"lat": r("lat", 8), "lon": r("lon", 8)}))
+
+
+@query
+def evaluation_format(spark, sf_dir):
+    rows = sd.evaluation_rows(sd.prediction(cars(spark, sf_dir)), s.truth(spark, sf_dir))
+    return sinks.evaluation_lines(rows.withColumns({"error_m": r("error_m"), "quality_score": r("quality_score")}))
+
+
+@query
+def lane_lines_format(spark, sf_dir):
+    short = roads.lane_points(roads.virtual_lanes(s.roads(spark))).withColumns({"lat": r("lat", 7), "lon": r("lon", 7)})
+    return sinks.lane_lines(short)
+
+
+@query
+def track_kml_format(spark, sf_dir):
+    return sinks.track_kml(cars(spark, sf_dir).withColumns({"lat": r("lat", 8), "lon": r("lon", 8)})).select("traj_id", F.sha2("line", 256).alias("sha256"), F.length("line").cast("long").alias("n"))
+
+
+@query
+def hmm_debug_format(spark, sf_dir):
+    o = s.observations(spark, sf_dir)
+    made = {"lat": r("lat", 8), "lon": r("lon", 8), "seg_id": F.when(F.col("seq") % 5 != 0, F.col("seq")), "obs_dist": F.col("seq") * F.lit(0.5), "emit_cost": F.col("seq") * F.lit(0.25), "emit_sigma": F.lit(8.0), "weak": F.col("seq") % 2 == 0}
+    return sinks.hmm_debug_lines(o.withColumns(made))
+
+
+@query
+def output_names(spark, sf_dir):
+    flags = [(source, match, noise) for source in ("mm", "hmm") for match in (False, True) for noise in (False, True)]
+    rows = [(source, match, noise, sinks.ekf_output(source, match, noise), sinks.sibling(f"/out/{source}.txt", "_debug")) for source, match, noise in flags]
+    return spark.createDataFrame(rows, "source string, sd_match boolean, sd_noise boolean, output string, debug string")
+
+
+@query
+def sd_modes(spark, sf_dir):
+    return spark.createDataFrame(list(sd.MODES.items()), "mode long, name string")
+
+
+@query
+def valid_rows(spark, sf_dir):
+    o, t = s.observations(spark, sf_dir), s.track(spark, sf_dir)
+    n = o.agg(F.count_if(geo.is_finite("lat") & geo.is_finite("lon")).alias("places"), F.count_if(geo.is_finite("vel_e") & geo.is_finite("vel_n")).alias("speeds"))
+    return n.join(t.agg(F.count_if(geo.is_finite("x") & geo.is_finite("y")).alias("track_places")))
+
+
+@query
+def car_points_xy(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return obs.fill_xy(p.withColumn("x", F.when(F.col("seq") % 2 == 0, F.lit(1.5))), s.REF).select(*KEY, r("x"), r("y"))
+
+
+@query
+def endpoint_distances(spark, sf_dir):
+    net = network(spark)
+    ends = ("x1", "y1", "x2", "y2")
+    pairs = roads.adjacency(net).join(net.select("seg_id", *(F.col(c).alias(f"a{c}") for c in ends)), "seg_id").join(net.select(F.col("seg_id").alias("other"), *(F.col(c).alias(f"b{c}") for c in ends)), "other")
+    return pairs.select("seg_id", "other", r(geo.least_endpoint_distance2("a", "b")).alias("d2"))
+
+
+@query
+def near_intersection(spark, sf_dir):
+    net = network(spark)
+    near = roads.grid_join(points(spark, sf_dir).select(*KEY, "x", "y"), net, 12.0).select(*KEY, "x", "y", "seg_id")
+    return lc.near_node(near, net, roads.adjacency(net)).select(*KEY, "seg_id", "near_node")
+
+
+def _lanes(spark, sf_dir, speed_detection: bool) -> DataFrame:
+    p = obs.raw_speed(points(spark, sf_dir))
+    return lc.lane_candidates(p, network(spark), "road", speed_detection).select(*KEY, "cand", r("emit_cost", 4))
+
+
+@query
+def lane_candidates(spark, sf_dir):
+    return _lanes(spark, sf_dir, False)
+
+
+@query
+def lane_candidates_sd(spark, sf_dir):
+    return _lanes(spark, sf_dir, True)
