@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: settings while a table is written, by the default that they replace
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,14 +46,17 @@ def purge(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts lineage and survives lost executors. The write's shuffle files go with
-    its end, as nothing reads them any more."""
-    spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    its end, as nothing reads them any more, and batches that go to Python are small, unless the session sets their size itself."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for key, (default, own) in WRITING.items():
+        if before[key] in (None, default):
+            spark.conf.set(key, own)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for key, old in before.items():
+            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +70,7 @@ def discard(df: DataFrame) -> None:
 
 def trim() -> None:
     """Give memory that this Python worker freed back to the system: workers are kept for later tasks, next to a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)
 

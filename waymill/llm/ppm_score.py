@@ -70,7 +70,7 @@ def codes(s: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
-def coded(texts: list[str] | pa.Array, order: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def coded(texts: list[str] | pa.Array, order: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The codes of all symbols that are coded, and the text of each, `most` symbols at a time."""
     s, ends = symbols(texts, order)
     starts = np.r_[0, ends[:-1]][: len(ends)]
@@ -425,11 +425,14 @@ def scores(docs: DataFrame, train_where: Column, order: int = 5) -> DataFrame:
             for code, _ in coded(batch.column(1), order):
                 _add(parts, distinct(code))
         code = _merged(parts)[0]
+        parts.clear()
         split = [words(batch.column(1)) for batch in batches]
         lookup = Logs(code, _in_order(right, GRAMS, code, order, buckets))
         hashes = distinct(np.concatenate([x for x, _, _ in split]))[0]
         count = _in_order(right, WORDS, hashes, order, buckets)
         log = np.log10(count + 0.1) - floor
+        del right
+        trim()  # before texts are gone through again
         out = []
         for batch, (own, which, of) in zip(batches, split, strict=True):
             at = np.searchsorted(hashes, own)[which]
