@@ -81,8 +81,8 @@ def route_distances(pairs: DataFrame, distances: DataFrame, between: DataFrame |
     long = between.select("p_seg_id", "seg_id", F.explode(ways).alias("w")).select("p_seg_id", "seg_id", "w.*").join(distances, ["src", "dst"])
     known = long.groupBy("p_seg_id", "seg_id").agg(*(F.min(F.when(F.col("way") == name, F.col("d"))).alias(f"_{name}") for name, _, _ in ENDS))
     leave = {"u": F.col("p_s"), "v": F.col("p_len") - F.col("p_s")}
-    enter = {"u": F.col("s"), "v": F.col("len") - F.col("s")}
-    over = F.least(*(leave[p] + enter[c] + F.col(f"_{name}") for name, p, c in ENDS))
+    met = {"u": lambda left: left + F.col("s"), "v": lambda left: left + F.col("len") - F.col("s")}  # from left to right as in SQL: ways of one length differ by the last bit
+    over = F.least(*(met[c](leave[p]) + F.col(f"_{name}") for name, p, c in ENDS))
     out = pairs.join(known, ["p_seg_id", "seg_id"], "left")
     return out.withColumn("route", F.when(F.col("seg_id") == F.col("p_seg_id"), F.abs(F.col("s") - F.col("p_s"))).otherwise(over)).drop(*(f"_{name}" for name, _, _ in ENDS))
 
