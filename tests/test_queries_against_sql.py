@@ -33,7 +33,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["hmm_matched"])
+@pytest.mark.parametrize("name", ["hmm_matched", "hmm_viterbi", "hmm_sd_matched"])
 def test_ways_of_one_length(spark, name, tmp_path):
     """Points on the roads' vertices and crossings lie on several segments at once, so ways of one length differ by the last bit alone."""
     con = duckdb.connect()
