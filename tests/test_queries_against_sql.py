@@ -43,3 +43,16 @@ def test_ways_of_one_length(spark, name, tmp_path):
     names = sorted(got.columns)
     rows = got.select(*(f"`{n}`" for n in names)).collect()
     assert plain(rows) == plain(want.project(", ".join(f'"{n}"' for n in names)).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no larger tables here")
+def test_best_path_where_six_copies_of_the_events_differed(spark, tmp_path):
+    """The two trajectories of events 6 times sf0.1 in which paths of one cost were told apart unlike in SQL."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT event_id + copy * 100000 AS event_id, value FROM '/root/testdata/sf0.1/events.parquet', range(6) c(copy) WHERE (event_id + copy * 100000) // 500 IN (695, 1120)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT PARQUET)")
+    got, want = QUERIES["hmm_viterbi"](spark, str(tmp_path)), con.sql(ORACLES["hmm_viterbi"])
+    names = sorted(got.columns)
+    rows = got.select(*(f"`{n}`" for n in names)).collect()
+    assert len(rows) == 966
+    assert plain(rows) == plain(want.project(", ".join(f'"{n}"' for n in names)).fetchall())
